@@ -12,7 +12,7 @@ from fleetbump.functions.patterns import (
     quote_java,
     quote_replacement,
 )
-from fleetbump.functions.versions import is_update, upgrade_decision, version_key
+from fleetbump.functions.versions import may_update, version_key
 
 # White space as the project-file patterns understand it (Unicode blanks included).
 _WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -142,7 +142,7 @@ def rewrite_references(content: Column, targets: list[Target], allow_downgrade:
 
         def allowed(pattern: Column) -> Column:
             old = F.call_function("regexp_extract", text, pattern, F.lit(1))
-            return is_update(upgrade_decision(old, t["version"], version_key(old), t["key"], allow_downgrade))
+            return may_update(old, t["version"], t["key"], allow_downgrade)
 
         is_single = F.regexp_like(text, t["single"])
         is_multi = F.regexp_like(text, t["multi"])

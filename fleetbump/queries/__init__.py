@@ -1,6 +1,15 @@
 """All registered queries."""
 
-from fleetbump.queries import catalog_queries, plan_queries, version_queries  # noqa: F401
+from fleetbump.queries import (  # noqa: F401
+    audit_queries,
+    catalog_queries,
+    plan_queries,
+    rule_queries,
+    source_queries,
+    status_queries,
+    stream_queries,
+    version_queries,
+)
 from fleetbump.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table read as a stream of its files."""
+    reader = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(sf)
+
+
 def text(column: str) -> Column:
     return F.col(column).cast("string")
 
@@ -221,6 +227,10 @@ FROM lined_refs r JOIN targets t ON lower(r.package) = lower(t.name)"""
 
 
 def merge_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return request_states(table(spark, sf, "events")).drop("seen_at")
+
+
+def request_states(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     state = (
         F.when(kind == "click", F.lit("opened"))
@@ -229,9 +239,10 @@ def merge_requests(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == "signup", F.lit("locked"))
     )
     key = F.col("event_id")
-    return table(spark, sf, "events").select(
+    return events.select(
         text("user_id").alias("repo_id"),
         text("event_id").alias("iid"),
+        F.col("ts").cast("timestamp").alias("seen_at"),
         F.when(key % 50 == 0, F.lit("Update 4 NuGet packages"))
         .when(key % 50 == 1, F.lit("Update 4 NuGet packages + Code Migrations"))
         .otherwise(F.concat(F.lit("Work "), text("event_id")))
@@ -297,10 +308,11 @@ FROM events"""
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Host states: one per event, plus an earlier one for every even event."""
-    mrs = merge_requests(spark, sf).join(
-        table(spark, sf, "events").select(text("event_id").alias("iid"), F.col("ts").cast("timestamp").alias("seen_at")), "iid"
-    )
-    now = mrs.select(F.col("repo_id").alias("repository_id"), "iid", "state", "seen_at", "ord")
+    return snapshot_rows(table(spark, sf, "events"))
+
+
+def snapshot_rows(events: DataFrame) -> DataFrame:
+    now = request_states(events).select(F.col("repo_id").alias("repository_id"), "iid", "state", "seen_at", "ord")
     before = now.filter(F.col("ord") % 2 == 0).withColumn("state", F.lit("opened")).withColumn(
         "seen_at", F.col("seen_at") - F.expr("INTERVAL 1 DAY")
     )
@@ -322,10 +334,14 @@ SELECT repository_id, iid, arg_max(state, seen_at) AS state FROM
 # ---- request log ---------------------------------------------------------------------------------
 
 
-def request_log(spark: SparkSession, sf: str, squeeze: int = 1000) -> DataFrame:
+def request_log(spark: SparkSession, sf: str) -> DataFrame:
+    return request_rows(table(spark, sf, "events"))
+
+
+def request_rows(events: DataFrame, squeeze: int = 1000) -> DataFrame:
     """Events as API requests; time runs ``squeeze`` times faster, so requests come within seconds."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("event_id").alias("request_id"),
         F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")).alias("key"),
         F.timestamp_micros(F.floor(us / squeeze)).alias("ts"),

@@ -26,15 +26,15 @@ TRACKING_META = (
 )
 TRACKING = f"metadata struct<{TRACKING_META}>, merge_requests array<struct<{TRACKED}>>, _corrupt string"
 
-_NODE = (
+NODE = (
     "struct<type:string,method_name:string,class_name:string,identifier:string,containing_type:string,"
     "containing_namespace:string,attributes:array<string>,parameters:array<struct<type:string,name:string>>>"
 )
-_ACTION = (
+ACTION = (
     "struct<type:string,strategy:string,replacement_method:string,replacement_code:string,replacement_type:string,"
     "attribute_name:string,argument_name:string,preserve_parameters:boolean,preserve_variable_names:boolean>"
 )
-RULES = f"array<struct<name:string,target_nodes:array<{_NODE}>,action:{_ACTION}>>"
+RULES = f"array<struct<name:string,target_nodes:array<{NODE}>,action:{ACTION}>>"
 CONDITIONS = "array<struct<type:string,version:string,max_version:string>>"
 MIGRATION = (
     f"id string, package_name string, description string, version_conditions {CONDITIONS}, rules {RULES}"

@@ -83,16 +83,14 @@ def read_migrations(spark: SparkSession, path: str, last_only: bool = True) -> D
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return migrations_table(spark, [])
-    entries = (
-        spark.read.schema(schemas.CATALOGUE_FILE)
-        .option("multiLine", "true")
-        .json(path)
-        .select(F.posexplode("migrations").alias("ord", "m"))
-        .select("m.*", "ord")
-    )
+    entries = entries_of(spark.read.schema(schemas.CATALOGUE_FILE).option("multiLine", "true").json(path))
     return last_definitions(entries) if last_only else entries
 
 
+def entries_of(documents: DataFrame) -> DataFrame:
+    return documents.select(F.posexplode("migrations").alias("ord", "m")).select("m.*", "ord")
+
+
 def read_migration_list(path: str) -> list[dict]:
     """The rule file itself (small by nature), with the last definition of each id kept."""
     try:
@@ -129,8 +127,11 @@ def read_tracking(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     # Cut to one row: only whether a bad document exists matters here.
     if documents.select("_corrupt", "metadata").filter(F.col("_corrupt").isNotNull()).limit(1).count():
         raise BadTrackingFile(path)
-    rows = documents.select(F.posexplode("merge_requests").alias("ord", "mr")).select("mr.*", "ord")
-    return rows, documents.select("metadata.*")
+    return tracking_rows_of(documents), documents.select("metadata.*")
+
+
+def tracking_rows_of(documents: DataFrame) -> DataFrame:
+    return documents.select(F.posexplode("merge_requests").alias("ord", "mr")).select("mr.*", "ord")
 
 
 def read_tracking_rows(spark: SparkSession, path: str) -> DataFrame:

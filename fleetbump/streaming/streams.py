@@ -96,3 +96,9 @@ def transitions(spark: SparkSession, folder: str) -> DataFrame:
 def current_states(spark: SparkSession, folder: str, last_batch: int, compact_every: int = 20) -> DataFrame:
     rows = _newest(_batches(spark, folder, last_batch + 1, compact_every))
     return rows.select("repository_id", "iid", "_row.*")
+
+
+def last_batch(query: StreamingQuery) -> int:
+    """Number of the last micro-batch of a finished query, -1 where there was none."""
+    progress = query.lastProgress
+    return progress["batchId"] if progress else -1
