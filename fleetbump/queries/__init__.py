@@ -3,6 +3,7 @@
 from fleetbump.queries import (  # noqa: F401
     audit_queries,
     catalog_queries,
+    corpus_queries,
     plan_queries,
     rule_queries,
     source_queries,
