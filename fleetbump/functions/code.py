@@ -26,8 +26,6 @@ _STRING = (
     r"|'(?:[^'\\\r\n]|\\[^\r\n]{1,9}?)'"
 )
 _COMMENT = r"//[^\r\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
-_DIRECTIVE = r"(?m:^)[ \t]*+#[^\r\n]*+"
-_ATTRIBUTE_LINE = r"(?m:^)[ \t]*+\[[^\]\r\n]*+\]"
 
 _G = r"[\p{L}\p{Nd}_\s,.?\[\]]*+"
 GENERIC = rf"<{_G}(?:<{_G}(?:<{_G}>{_G})*+>{_G})*+>"
@@ -58,7 +56,11 @@ _DECLARED = (
     rf"(?<![\p{{L}}\p{{Nd}}_.])(?!{_words(_BEFORE_CALL)}){_TYPE}\s++(?!{_words(_NOT_CALLS)}){ID}(?=\s*+(?:{GENERIC})?+\s*+\()"
 )
 _HEAD = rf"(?<![\p{{L}}\p{{Nd}}_@])(?!{_words(_NOT_CALLS)})({ID})(?=\s*+(?:{GENERIC})?+\s*+\()"
-_SKIPPED = f"{_STRING}|{_COMMENT}|{_DIRECTIVE}|{_ATTRIBUTE_LINE}|{_CREATION}|{_DECLARED}"
+# Alternatives are grouped by what they can start with, so most characters fail after a few tests.
+_SKIPPED = (
+    rf"(?=[\"'$@])(?:{_STRING})|(?=/)(?:{_COMMENT})|(?m:^)[ \t]*+(?:#[^\r\n]*+|\[[^\]\r\n]*+\])"
+    rf"|(?<!{_W})(?=[\p{{L}}_])(?:{_CREATION}|{_DECLARED})"
+)
 
 _PLAIN = rf"""[^()"'/@$]++|{_STRING}|{_COMMENT}|[/'@$]"""
 
@@ -175,7 +177,7 @@ def remove_call(marked: Column, method: str | None) -> Column:
     text = F.regexp_replace(text, rf"([;{{}}])[ \t]*+(?:{ID}\s*+\.\s*+)*+{call}\s*+;", "$1")
     text = F.regexp_replace(text, rf"(?<=[)]){link}", "")
     text = F.regexp_replace(text, rf"([=(,?:&|+!\[>]\s*+|(?<!{_W})return\s++)({path}){link}", "$1$2")
-    return F.regexp_replace(text, rf"(?<!\.\s{{0,80}}){call}\s*+\.\s*+(?=[{OPEN}\p{{L}}_])", "")
+    return F.regexp_replace(text, rf"(?={OPEN})(?<!\.\s{{0,80}}){call}\s*+\.\s*+(?=[{OPEN}\p{{L}}_])", "")
 
 
 _ARG_PLAIN = rf"""[^()"'/@$,\[\]{{}}]++|{_STRING}|{_COMMENT}|[/'@$]"""
@@ -249,10 +251,13 @@ def left_over(marked: Column, method: str) -> Column:
     return marked.rlike(rf"(?<!\?)\.\s*+{head}|(?:[;{{}}):]|(?<!{_W})(?:else|do))\s*+{head}")
 
 
-def in_text(content: Column, method: str) -> Column:
-    """Does a string or comment hold what looks like a call of the method?"""
-    call = rf"(?iu)(?<!{_W}){quote_java(method)}\s*\("
-    return F.exists(skipped_tokens(content), lambda t: t.rlike(call))
+def in_text(content: Column, marked: Column, method: str) -> Column:
+    """Does a string or comment hold what looks like a call of the method?
+
+    Only where the marked text has the name unmarked are strings and comments looked at.
+    """
+    call = rf"(?iu)(?<![\p{{L}}\p{{Nd}}_{OPEN}]){quote_java(method)}\s*\("
+    return F.when(marked.rlike(call), F.exists(skipped_tokens(content), lambda t: t.rlike(call))).otherwise(F.lit(False))
 
 
 # ---- declarations --------------------------------------------------------------------------------

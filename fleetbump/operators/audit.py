@@ -46,7 +46,8 @@ def request_rates(
         .withColumn("_previous", F.lag("_us").over(by_row))
         .filter(F.col("_at") == F.col("_bucket"))
     )
-    carried = measured.join(_last_before(rows), ["key", "_bucket"])
+    # Joined on the columns the windows are partitioned by, so the requests are not shuffled again.
+    carried = measured.join(_last_before(rows).withColumnRenamed("_bucket", "_at"), ["key", "_at"])
     previous = F.coalesce("_previous", "_carry")
     trailing = F.col("_seen") - F.col("_expired")
     limit = per_minute * threshold

@@ -237,15 +237,15 @@ def _folded(content: Column, steps: list[tuple[int, str, dict, dict]], finish) -
     return let(code.mark_calls(content), lambda t: go([t]))
 
 
-def _needs_review(content: Column, last: Column, steps: list[tuple[int, str, dict, dict]]) -> list[tuple[str, Column]]:
+def _needs_review(content: Column, states: list[Column], steps: list[tuple[int, str, dict, dict]]) -> list[tuple[str, Column]]:
     """(method, test) for names left in strings, comments or calls that could not be bounded."""
     tests = []
     for _, _, node, action in steps:
         method = node.get("method_name")
         if method:
-            test = code.in_text(content, method)
+            test = code.in_text(content, states[0], method)
             if str(action["type"]).lower() == "remove_invocation":
-                test = test | code.left_over(last, method)
+                test = test | code.left_over(states[-1], method)
             tests.append((method, F.when(_mentions(content, method), test).otherwise(F.lit(False))))
     return tests
 
@@ -278,7 +278,7 @@ def apply_rules(files: DataFrame, rules: list[dict]) -> DataFrame:
             F.when(test, F.struct(F.lit(o).alias("rule_ord"), F.lit(names[o]).alias("name"))) for o, test in changed.items()
         ]
         review = F.lit(False)
-        for _, test in _needs_review(content, states[-1], steps):
+        for _, test in _needs_review(content, states, steps):
             review = review | test
         result = F.struct(
             let(code.unmark(states[-1]), lambda t: normalize_newlines(t, newline_of(content))).alias("content"),
@@ -304,7 +304,7 @@ def files_to_review(files: DataFrame, rules: list[dict]) -> DataFrame:
     content = F.col("content")
 
     def finish(states: list[Column]) -> Column:
-        found = [F.when(test, F.lit(method)) for method, test in _needs_review(content, states[-1], steps)]
+        found = [F.when(test, F.lit(method)) for method, test in _needs_review(content, states, steps)]
         return F.array_distinct(F.array_compact(F.array(*found)))
 
     methods = _folded(content, steps, finish)

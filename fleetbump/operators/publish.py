@@ -129,7 +129,10 @@ def run_outcome(requested: DataFrame, succeeded: DataFrame, rolled_back: DataFra
 
 
 def commit_files(rewritten: DataFrame, migrated: DataFrame) -> DataFrame:
-    """(repo_id, commit_no, path): project files go into commit 1, migrated code into commit 2."""
+    """(repo_id, commit_no, path): project files go into commit 1, migrated code into commit 2.
+
+    Both tables are read twice at most; pass written tables, not the rewriting jobs themselves.
+    """
     first = rewritten.select("repo_id", F.lit(1).alias("commit_no"), "path")
     second = migrated.select("repo_id", F.lit(2).alias("commit_no"), "path")
     return first.unionByName(second.join(rewritten.select("repo_id").distinct(), "repo_id", "left_semi"))

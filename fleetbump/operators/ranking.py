@@ -38,16 +38,3 @@ def number_rows(
     numbered = chunked.withColumn("_local", F.row_number().over(local))
     joined = numbered.join(starts.drop("_size"), [*keys, "_chunk"])
     return joined.withColumn(out, F.col("_start") + F.col("_local")).drop("_chunk", "_local", "_start")
-
-
-def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, chunk: Column) -> DataFrame:
-    """The first ``k`` rows of each group: chunks are cut to ``k`` first, then groups."""
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    cut = (
-        df.withColumn("_chunk", chunk)
-        .withColumn("_local", F.row_number().over(local))
-        .filter(F.col("_local") <= k)
-        .drop("_chunk", "_local")
-    )
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    return cut.withColumn("position", F.row_number().over(whole)).filter(F.col("position") <= k)

@@ -11,19 +11,18 @@ from fleetbump.queries.registry import query
 
 @query(
     "version_order",
-    """SELECT version, CAST(rank() OVER (ORDER BY key) AS BIGINT) AS place
-       FROM (SELECT DISTINCT version, key FROM package_refs WHERE key IS NOT NULL)""",
+    """SELECT package, repo_id, first(version ORDER BY key, version) AS oldest, last(version ORDER BY key, version) AS newest,
+              count(DISTINCT key) AS distinct_versions
+       FROM package_refs WHERE key IS NOT NULL GROUP BY package, repo_id""",
 )
 def version_order(spark, sf):
-    # Rank by counting smaller keys over the distinct keys: few rows, whatever the number of references.
-    versions = s.package_refs(spark, sf).select("version").distinct().withColumn("key", version_key("version"))
-    known = versions.filter(F.col("key").isNotNull())
-    per_key = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    before = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_key.withColumn("place", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).drop("n")
-    return known.join(ranked, "key").select("version", "place")
+    keyed = s.package_refs(spark, sf).withColumn("key", version_key("version")).filter(F.col("key").isNotNull())
+    place = F.struct("key", "version")
+    return keyed.groupBy("package", "repo_id").agg(
+        F.min(place)["version"].alias("oldest"),
+        F.max(place)["version"].alias("newest"),
+        F.count_distinct("key").alias("distinct_versions"),
+    )
 
 
 @query(
