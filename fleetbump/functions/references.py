@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fleetbump.functions.patterns import (
+    let,
     newline_of,
     quote_java,
     quote_replacement,
@@ -17,13 +18,13 @@ from fleetbump.functions.versions import may_update, version_key
 # White space as the project-file patterns understand it (Unicode blanks included).
 _WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
-# Zero-width, so references are found at every position and none hides another. The captured text
-# runs from the name to the version; it is cut into its two values afterwards.
+# Only the opening sign is consumed, so none of the references hides another. The captured text runs
+# from the name to the version; it is cut into its two values afterwards.
 _SINGLE_ANY = (
-    rf'(?i)(?=<PackageReference{_WS}+Include="([^"]*"{_WS}+Version="[^"]*)"[^>]*>)'
+    rf'(?i)<(?=PackageReference{_WS}+Include="([^"]*"{_WS}+Version="[^"]*)"[^>]*>)'
 )
 _MULTI_ANY = (
-    rf'(?i)(?=<PackageReference{_WS}+Include="([^"]*"{_WS}*>{_WS}*<Version>[^<]*)</Version>{_WS}*</PackageReference>)'
+    rf'(?i)<(?=PackageReference{_WS}+Include="([^"]*"{_WS}*>{_WS}*<Version>[^<]*)</Version>{_WS}*</PackageReference>)'
 )
 
 
@@ -94,6 +95,9 @@ def deciding_references(content: Column) -> Column:
     )
 
 
+UPDATED = "array<struct<ord:int,name:string,version:string>>"
+
+
 @dataclass(frozen=True)
 class Target:
     name: str
@@ -121,6 +125,14 @@ def _target_column(ord_: int, target: Target) -> Column:
     )
 
 
+def mentions_any(content: Column, targets: list[Target]) -> Column:
+    """Plain text test, ahead of any pattern, for files that may hold one of the target packages."""
+    return let(
+        F.lower(content),
+        lambda text: F.exists(F.array(*[F.lit(t.name.lower()) for t in targets]), lambda name: F.contains(text, name)),
+    )
+
+
 def rewrite_references(content: Column, targets: list[Target], allow_downgrade: bool = False) -> Column:
     """Fold every target over a project file, in order.
 
@@ -130,7 +142,7 @@ def rewrite_references(content: Column, targets: list[Target], allow_downgrade:
     if not targets:
         return F.struct(
             content.alias("content"),
-            F.array().cast("array<struct<ord:int,name:string,version:string>>").alias("updated"),
+            F.array().cast(UPDATED).alias("updated"),
         )
     folded = F.array(*[_target_column(i, t) for i, t in enumerate(targets)])
     lowered = F.lower(content)
@@ -158,7 +170,7 @@ def rewrite_references(content: Column, targets: list[Target], allow_downgrade:
 
     start = F.struct(
         content.alias("content"),
-        F.array().cast("array<struct<ord:int,name:string,version:string>>").alias("updated"),
+        F.array().cast(UPDATED).alias("updated"),
     )
     return F.aggregate(present, start, step)
 

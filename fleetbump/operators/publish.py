@@ -12,17 +12,19 @@ from fleetbump.functions.naming import (
     request_description,
     request_title,
 )
-from fleetbump.functions.references import Target, rewrite_references
+from fleetbump.functions.references import UPDATED, Target, mentions_any, rewrite_references
 from fleetbump.operators.ranking import CHUNK_ROWS, number_rows
 
 
 def rewrite_project_files(files: DataFrame, targets: list[Target], allow_downgrade: bool = False) -> DataFrame:
     """Rewritten project files and the targets each one received; untouched files are dropped."""
+    if not targets:
+        return files.limit(0).select("repo_id", "ref", "path", "content", F.array().cast(UPDATED).alias("updated"))
     done = F.array(rewrite_references(F.col("content"), targets, allow_downgrade))
     # Exploding the kept results evaluates the rewrite once per file; a filter on its outcome would be
     # pushed below the projection and evaluate it twice.
     return (
-        files.filter(F.col("path").endswith(".csproj"))
+        files.filter(F.col("path").endswith(".csproj") & mentions_any(F.col("content"), targets))
         .select("repo_id", "ref", "path", F.explode(F.filter(done, lambda r: F.size(r["updated"]) > 0)).alias("_r"))
         .select("repo_id", "ref", "path", F.col("_r.content").alias("content"), F.col("_r.updated").alias("updated"))
     )

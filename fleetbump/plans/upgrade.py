@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetbump.functions.naming import TITLE_SUFFIX, branch_name, request_title
 from fleetbump.functions.patterns import truncate
-from fleetbump.functions.references import Target, all_references, deciding_references
+from fleetbump.functions.references import Target, all_references, deciding_references, mentions_any
 from fleetbump.functions.versions import is_update, upgrade_decision, version_key
 from fleetbump.operators.catalog import with_target_branch
 from fleetbump.operators.rules import applicable, contains_any, migrations_table, preview_terms
@@ -67,7 +67,8 @@ def reference_decisions(
 
 def file_decisions(files: DataFrame, targets: list[Target], allow_downgrade: bool = False) -> DataFrame:
     """One decision per (project file, target), taken on the reference that decides for the file."""
-    deciding = files.filter(F.col("path").endswith(".csproj")).select(
+    held = F.col("path").endswith(".csproj") & mentions_any(F.col("content"), targets)
+    deciding = files.filter(held).select(
         "repo_id", "ref", "path", F.explode(deciding_references(F.col("content"))).alias("r")
     )
     flat = deciding.select("repo_id", "ref", "path", "r.*")

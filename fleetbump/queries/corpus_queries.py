@@ -8,6 +8,7 @@ from fleetbump.functions.patterns import newline_of, normalize_newlines
 from fleetbump.operators import corpus, rules
 from fleetbump.queries import standins as s
 from fleetbump.queries.registry import query
+from fleetbump.session import spread
 
 # The file before any rule. {more} is an extra use of scanFlag in even documents, {note} a comment
 # that mentions a removed call in every third.
@@ -90,7 +91,7 @@ def _sql_text(template: str) -> str:
 
 
 def code_files(spark, sf):
-    return s.table(spark, sf, "documents").select(
+    return spread(s.table(spark, sf, "documents"), "doc_id").select(
         (F.col("doc_id") % 97).cast("string").alias("repo_id"),
         F.concat(F.lit("src/D"), s.text("doc_id"), F.lit(".cs")).alias("path"),
         _spark_text(BEFORE).alias("content"),

@@ -8,6 +8,7 @@ from fleetbump.operators import catalog, publish
 from fleetbump.plans import upgrade
 from fleetbump.queries import standins as s
 from fleetbump.queries.registry import query
+from fleetbump.session import spread
 
 _EPOCH = 1_700_000_000
 
@@ -108,7 +109,7 @@ def distinct_old_versions(spark, sf):
 
 def plan_files(spark, sf):
     """Project files of the order lines plus one code file per document."""
-    code = s.table(spark, sf, "documents").select(
+    code = spread(s.table(spark, sf, "documents"), "doc_id").select(
         (F.col("doc_id") % 97).cast("string").alias("repo_id"),
         F.when(F.col("doc_id") % 2 == 0, F.lit("release")).otherwise(F.lit("main")).alias("ref"),
         F.concat(F.lit("src/D"), s.text("doc_id"), F.lit(".cs")).alias("path"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetbump.functions.references import Target
+from fleetbump.session import spread
 
 SQL: dict[str, str] = {}
 
@@ -133,7 +134,7 @@ SELECT * FROM (VALUES (0, 'Red Plate', '25.4.0', [25, 4, 9, 0, 0, 1, 0]),
 
 def package_refs(spark: SparkSession, sf: str) -> DataFrame:
     """One reference per order line: plain, short, pre-release, post, dev and unreadable versions."""
-    lines, parts = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    lines, parts = spread(table(spark, sf, "lineitem"), "l_partkey"), table(spark, sf, "part")
     kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 9
     short = F.concat_ws(".", text("p_size"), text("l_linenumber"))
     version = (

@@ -20,6 +20,8 @@ SETTINGS = {
 # Largest table that may be hinted as a broadcast. Rule and target catalogues are a few hundred rows.
 BROADCAST_ROWS = 20_000
 
+SMALL_PER_CORE = 4 * 1024 * 1024
+
 
 def build_session(master: str | None = None, app: str = "fleetbump", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -53,3 +55,14 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Put the rows of a very small table on all cores before costly per-row work.
+
+    Spark gives a table of less than 4 MiB (its cost of opening a file) per core fewer splits than cores, and a file of
+    one row group a single one. Only such tables are shuffled here; larger ones are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if size < cores * SMALL_PER_CORE else df
