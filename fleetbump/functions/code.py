@@ -198,18 +198,18 @@ def remove_argument(marked: Column, method: str | None, argument: str | None) ->
     if not argument or not argument.strip():
         return marked
     wanted = quote_java(argument)
-    named = rf"\s*+{ID}\s*+:(?!:)\s*+"
+    named = rf"{ID}\s*+:(?!:)\s*+"
     head = rf"{_name(method)}\s*+(?:{GENERIC})?+\s*+\("
-    plain = rf"(?:{named})?+\s*+{wanted}{_END}\s*+"
+    plain = rf"\s*+(?:{named})?+{wanted}{_END}\s*+"
     text = marked
     for _ in range(2):
         # Last or only one: the comma before it is cut together with the mark.
         text = F.regexp_replace(text, rf"({head}(?:{_ARG},)*+){plain}\)", f"$1{TRIM})")
         text = F.replace(F.regexp_replace(text, rf"\s*+,\s*+{TRIM}", ""), F.lit(TRIM), F.lit(""))
-        rest_named = rf"(?={named}{_ARG}(?:,{named}{_ARG})*+\))"
-        for going in (rf"{named}{wanted}{_END}\s*+,", rf"\s*+{wanted}{_END}\s*+,{rest_named}"):
-            ahead = rf"(?:(?!{going}){_ARG},)*+"
-            text = F.regexp_replace(text, rf"({head}{ahead}){going}\s*+", "$1")
+        rest_named = rf"(?=\s*+{named}{_ARG}(?:,\s*+{named}{_ARG})*+\))"
+        for going in (rf"{named}{wanted}{_END}\s*+,", rf"{wanted}{_END}\s*+,{rest_named}"):
+            ahead = rf"(?:(?!\s*+{going}){_ARG},)*+"
+            text = F.regexp_replace(text, rf"({head}{ahead}\s*+){going}\s*+", "$1")
     return text
 
 

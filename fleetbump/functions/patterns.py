@@ -136,9 +136,15 @@ def decode_base64(text: Column) -> Column:
     return F.decode(F.unbase64(text), "UTF-8")
 
 
+_INSTANT = r"^\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+-]\d\d:\d\d)?)?$"
+
+
 def parse_instant(text: Column) -> Column:
-    """ISO-8601 instant, null when it does not parse."""
-    return F.try_to_timestamp(text)
+    """ISO-8601 instant, null when it does not parse.
+
+    The shape is checked first: Spark alone would also read bare years, months and words like "today".
+    """
+    return F.when(text.rlike(_INSTANT), F.try_to_timestamp(text))
 
 
 def is_useful_term(term: Column) -> Column:

@@ -124,8 +124,8 @@ def read_tracking(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         .option("columnNameOfCorruptRecord", "_corrupt")
         .json(path)
     )
-    # Cut to one row: only whether a bad document exists matters here.
-    if documents.select("_corrupt", "metadata").filter(F.col("_corrupt").isNotNull()).limit(1).count():
+    # At most one row comes back: only whether a bad document exists matters here.
+    if documents.select("_corrupt", "metadata.generated_at").filter(F.col("_corrupt").isNotNull()).take(1):
         raise BadTrackingFile(path)
     return tracking_rows_of(documents), documents.select("metadata.*")
 
