@@ -126,7 +126,12 @@ def _target_column(ord_: int, target: Target) -> Column:
 
 
 def mentions_any(content: Column, targets: list[Target]) -> Column:
-    """Plain text test, ahead of any pattern, for files that may hold one of the target packages."""
+    """Plain text test, ahead of any pattern, for files that may hold one of the target packages.
+
+    With very many targets one test for any reference at all is cheaper.
+    """
+    if len(targets) > 64:
+        return F.contains(F.lower(content), F.lit("<packagereference"))
     return let(
         F.lower(content),
         lambda text: F.exists(F.array(*[F.lit(t.name.lower()) for t in targets]), lambda name: F.contains(text, name)),

@@ -253,22 +253,15 @@ def changed_paths(package_files: DataFrame, migrated_files: DataFrame) -> DataFr
     )
 
 
-def preview_head(rows: DataFrame, keys: list[str], order: Column, k: int, salt: Column, buckets: int = 64) -> DataFrame:
+def preview_head(rows: DataFrame, keys: list[str], order: Column, k: int) -> DataFrame:
     """First ``k`` rows per group and how many more there are.
 
-    Groups are cut to ``k`` inside salted parts before the final cut, and counted by an aggregate, so
-    no task sees more than a part of a large group.
+    Spark cuts every group to ``k`` rows inside each input task before the shuffle (for ``k`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``), and groups are counted by an aggregate, so a
+    large group never meets in one task.
     """
-    part = Window.partitionBy(*keys, "_salt").orderBy(order)
-    whole = Window.partitionBy(*keys).orderBy(order)
-    head = (
-        rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(buckets)))
-        .withColumn("_rank", F.row_number().over(part))
-        .filter(F.col("_rank") <= k)
-        .withColumn("rank", F.row_number().over(whole))
-        .filter(F.col("rank") <= k)
-        .drop("_salt", "_rank")
-    )
+    first = Window.partitionBy(*keys).orderBy(order)
+    head = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     return head.join(totals, keys).withColumn("more", F.greatest(F.col("_total") - k, F.lit(0))).drop("_total")
 

@@ -355,14 +355,14 @@ def changed_file_contents(spark, sf):
 @query(
     "working_paths_mapped",
     """SELECT CAST(l_suppkey AS VARCHAR) AS repo_id, l_orderkey || '/' || l_linenumber || '-' || l_partkey AS path
-       FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 2 = 0""",
+       FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F'""",
 )
 def working_paths_mapped(spark, sf):
     path = F.concat(s.text("l_orderkey"), F.lit("/"), s.text("l_linenumber"), F.lit("-"), s.text("l_partkey"))
     rows = s.table(spark, sf, "lineitem").withColumn("path", path)
     local = F.concat(F.lit("/work/"), s.text("l_suppkey"), F.lit("/"), F.col("path"))
     modified = rows.filter(F.col("l_returnflag") == "A").select(local.alias("local_path"))
-    mapping = rows.filter(F.col("l_partkey") % 2 == 0).select(
+    mapping = rows.filter(F.col("l_linestatus") == "F").select(
         local.alias("local_path"), s.text("l_suppkey").alias("repo_id"), "path"
     )
     return corpus.back_to_repository(modified, mapping)

@@ -247,7 +247,7 @@ def changed_paths(spark, sf):
 def preview_head(spark, sf):
     decided = upgrade.file_decisions(s.project_files(spark, sf), s.TARGETS)
     changed = decided.filter(F.col("decision").isin("update", "update_unparsed")).select("repo_id", "path")
-    head = upgrade.preview_head(changed, ["repo_id"], F.col("path"), 3, F.col("path"))
+    head = upgrade.preview_head(changed, ["repo_id"], F.col("path"), 3)
     return head.select("repo_id", "path", F.col("rank").cast("bigint").alias("rank"), "more")
 
 

@@ -76,14 +76,18 @@ def landed_file_contents(spark, sf):
 
 @query(
     "working_tree_files",
-    "SELECT md5(text || chr(13) || chr(10) || role || chr(10)) AS content_md5, count(*) AS n FROM conversations GROUP BY 1",
+    """SELECT md5(line) AS line_md5, count(*) AS n FROM (
+         SELECT unnest(string_split(text || chr(13) || chr(10) || role, chr(10))) AS line FROM conversations) GROUP BY 1""",
 )
 def working_tree_files(spark, sf):
+    """Files of up to a thousand turns each, read as whole files; carriage returns must survive."""
     path = staged_path(spark, "tree")
     turns = s.table(spark, sf, "conversations").select(F.concat("text", F.lit("\r\n"), "role").alias("value"))
-    turns.write.option("maxRecordsPerFile", "1").text(path)
+    turns.write.option("maxRecordsPerFile", "1000").text(path)
     files = landed.read_working_tree(spark, path, ".txt")
-    return files.groupBy(F.md5(F.col("content").cast("binary")).alias("content_md5")).agg(F.count(F.lit(1)).alias("n"))
+    # The text sink ends every file with a newline, which is no line of its own.
+    lines = files.select(F.explode(F.split(F.regexp_replace("content", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy(F.md5(F.col("line").cast("binary")).alias("line_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("branch_pages", "SELECT repo_id, name, committed_date, ord FROM branches")

@@ -308,13 +308,13 @@ FROM events"""
 
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """Host states: one per event, plus an earlier one for every even event."""
+    """Host states: one per event, plus one a day earlier."""
     return snapshot_rows(table(spark, sf, "events"))
 
 
 def snapshot_rows(events: DataFrame) -> DataFrame:
     now = request_states(events).select(F.col("repo_id").alias("repository_id"), "iid", "state", "seen_at", "ord")
-    before = now.filter(F.col("ord") % 2 == 0).withColumn("state", F.lit("opened")).withColumn(
+    before = now.withColumn("state", F.lit("opened")).withColumn(
         "seen_at", F.col("seen_at") - F.expr("INTERVAL 1 DAY")
     )
     return now.unionByName(before)
@@ -325,7 +325,7 @@ SELECT m.repo_id AS repository_id, m.iid, m.state, e.ts AS seen_at, m.ord
 FROM merge_requests m JOIN events e ON m.ord = e.event_id
 UNION ALL
 SELECT m.repo_id, m.iid, 'opened', e.ts - INTERVAL 1 DAY, m.ord
-FROM merge_requests m JOIN events e ON m.ord = e.event_id WHERE m.ord % 2 = 0"""
+FROM merge_requests m JOIN events e ON m.ord = e.event_id"""
 
 SQL["latest"] = """
 SELECT repository_id, iid, arg_max(state, seen_at) AS state FROM

@@ -320,7 +320,7 @@ def test_hot_repository(spark):
     updates = upgrade.repository_updates(upgrade.file_decisions(files, [Target("P", "2.0")]))
     hot = updates.filter("repo_id = 'hot'").first()
     assert (hot.project_files, hot.old_versions) == (13_333, "1.0")
-    head = upgrade.preview_head(files.select("repo_id", "path"), ["repo_id"], F.col("path"), 3, F.col("path"), 16)
+    head = upgrade.preview_head(files.select("repo_id", "path"), ["repo_id"], F.col("path"), 3)
     assert [(r.path, r.more) for r in head.filter("repo_id = 'hot'").orderBy("rank").collect()] == [
         ("p1.csproj", 13_330),
         ("p10.csproj", 13_330),

@@ -81,6 +81,11 @@ def test_grouped_choices_combine_before_the_shuffle(spark):
     assert plan.count("Aggregate (") >= 2 and "Window" not in plan
 
 
+def test_top_rows_are_cut_before_the_shuffle(files):
+    plan = formatted(upgrade.preview_head(files.select("repo_id", "path"), ["repo_id"], F.col("path"), 3))
+    assert plan.count("WindowGroupLimit (") >= 2
+
+
 def test_request_windows_use_time_chunks(spark):
     log = spark.createDataFrame([(1, "k", 5)], "request_id bigint, key string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
     plan = formatted(audit.request_rates(log))
