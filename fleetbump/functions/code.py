@@ -15,7 +15,7 @@ from fleetbump.functions.patterns import let, quote_java, quote_replacement
 
 OPEN, CLOSE, TRIM = "\u0001", "\u0002", "\u0003"
 
-_W = r"[\p{L}\p{Nd}_]"
+WORD = _W = r"[\p{L}\p{Nd}_]"
 ID = rf"[\p{{L}}_]{_W}*+"
 _END = rf"(?!{_W})"
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetbump.functions.patterns import glob_match, is_valid_spec, parse_instant, spec_parts
-from fleetbump.session import small
 
 
 def with_extension(tree: DataFrame, extension: str) -> DataFrame:
@@ -14,8 +13,13 @@ def with_extension(tree: DataFrame, extension: str) -> DataFrame:
     return tree.filter((F.col("type") == "blob") & F.col("name").endswith(extension))
 
 
-def drop_ignored(repos: DataFrame, globs: list[str]) -> DataFrame:
-    """Drop repositories any glob matches by name or namespaced path; no globs keep everything."""
+def drop_ignored(repos: DataFrame, globs: list[str] | str) -> DataFrame:
+    """Drop repositories any glob matches by name or namespaced path; no globs keep everything.
+
+    ``globs`` is a list, or one comma-separated text.
+    """
+    if isinstance(globs, str):
+        globs = [g.strip() for g in globs.split(",") if g.strip()]
     if not globs:
         return repos
     name = F.col("name")
@@ -104,7 +108,3 @@ def with_target_branch(repos: DataFrame, branches: DataFrame | None, glob: str |
 def first_repositories(repos: DataFrame, cap: int | None) -> DataFrame:
     """Prefix of the ordered repository list; no cap, zero or a negative one keep all."""
     return repos.orderBy("ord").limit(cap) if cap and cap > 0 else repos
-
-
-def restrict_to(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(small(keys), on, "left_semi")

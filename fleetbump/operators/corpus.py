@@ -17,81 +17,96 @@ def call_inventory(files: DataFrame) -> DataFrame:
     return found.select("repo_id", "path", *code.call_fields(F.col("c")))
 
 
-def declaration_inventory(files: DataFrame) -> DataFrame:
-    """Classes, methods, fields and parameters as one table.
-
-    (repo_id, path, kind, name, type, attributes, containing_class, parameters). The containing class is
-    the one whose header comes last before the member.
-    """
-    pieces = files.select("repo_id", "path", F.posexplode(code.type_pieces(F.col("content"))).alias("piece", "text"))
-    header = F.regexp_extract("text", f"^{code.TYPE_HEADER}", 1)
-    is_class = header.rlike(rf"\bclass\s+{code.ID}$")
-    owned = pieces.select(
-        "repo_id",
-        "path",
-        "text",
-        header.alias("header"),
-        F.when(is_class, F.regexp_extract(header, rf"({code.ID})$", 1)).alias("containing_class"),
+_PARAMETER = "struct<type:string,name:string,attributes:array<string>>"
+_DECLARATION = (
+    f"struct<kind:string,name:string,type:string,attributes:array<string>,parameters:array<{_PARAMETER}>>"
+)
+
+
+def _declaration(kind: str, name: Column, type_: Column, attributes: Column, params: Column | None = None) -> Column:
+    none = F.array().cast(f"array<{_PARAMETER}>")
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        name.alias("name"),
+        type_.alias("type"),
+        attributes.alias("attributes"),
+        (none if params is None else params).alias("parameters"),
+    ).cast(_DECLARATION)
+
+
+def _as_rows(params: Column) -> Column:
+    return F.transform(
+        params, lambda p: _declaration("parameter", p["name"], p["type"], p["attributes"], F.array(p))
     )
-    no_params = F.array().cast("array<struct<type:string,name:string,attributes:array<string>>>")
-
-    def shaped(rows: DataFrame, kind: str, name: Column, type_: Column, attributes: Column, params: Column) -> DataFrame:
-        return rows.select(
-            "repo_id",
-            "path",
-            F.lit(kind).alias("kind"),
-            name.alias("name"),
-            type_.alias("type"),
-            attributes.alias("attributes"),
-            "containing_class",
-            params.alias("parameters"),
-        )
 
-    classes = shaped(
-        owned.filter(F.col("containing_class").isNotNull()),
-        "class",
-        F.col("containing_class"),
-        F.lit(None).cast("string"),
-        code.attribute_names(F.regexp_extract("header", r"^((?:\[[^\[\]]*+\]\s*+)*+)", 1)),
-        no_params,
-    )
 
-    def matches(pattern: str) -> DataFrame:
-        found = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
-        return owned.select("repo_id", "path", "containing_class", F.explode(found).alias("m"))
+def _members(text: Column) -> Column:
+    """Methods, fields and parameters of one piece of code; each pattern runs over it once."""
+
+    def found(pattern: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
-    def group(pattern: str, n: int) -> Column:
-        return F.regexp_extract("m", pattern, n)
+    def method(m: Column) -> Column:
+        return _declaration(
+            "method",
+            F.regexp_extract(m, code.METHOD, 4),
+            F.regexp_extract(m, code.METHOD, 3),
+            code.attribute_names(F.regexp_extract(m, code.METHOD, 1)),
+            code.parameters(F.regexp_extract(m, code.METHOD, 5)),
+        )
 
     # Without a modifier, "Type Name(...);" may as well be a local variable: only bodies count there.
-    all_methods = matches(code.METHOD).filter((group(code.METHOD, 2) != "") | (group(code.METHOD, 6) != ";"))
-    methods = shaped(
-        all_methods,
-        "method",
-        group(code.METHOD, 4),
-        group(code.METHOD, 3),
-        code.attribute_names(group(code.METHOD, 1)),
-        code.parameters(group(code.METHOD, 5)),
+    real = F.filter(
+        found(code.METHOD),
+        lambda m: (F.regexp_extract(m, code.METHOD, 2) != "") | (F.regexp_extract(m, code.METHOD, 6) != ";"),
     )
-    fields = matches(code.FIELD)
-    names = F.filter(
-        F.transform(F.split(F.regexp_replace(group(code.FIELD, 4), r"=[^,]*", ""), ","), lambda n: F.trim(n)),
-        lambda n: n.rlike(f"^{code.ID}$"),
+    methods = let(
+        F.transform(real, method),
+        lambda rows: F.concat(rows, F.flatten(F.transform(rows, lambda r: _as_rows(r["parameters"])))),
     )
-    field_rows = shaped(
-        fields.withColumn("name", F.explode(names)),
-        "field",
-        F.col("name"),
-        group(code.FIELD, 3),
-        code.attribute_names(group(code.FIELD, 1)),
-        no_params,
+    built = F.flatten(
+        F.transform(
+            found(code.CONSTRUCTOR), lambda m: _as_rows(code.parameters(F.regexp_extract(m, code.CONSTRUCTOR, 3)))
+        )
     )
-    lists = all_methods.select("repo_id", "path", "containing_class", group(code.METHOD, 5).alias("list")).unionByName(
-        matches(code.CONSTRUCTOR).select("repo_id", "path", "containing_class", group(code.CONSTRUCTOR, 3).alias("list"))
+
+    def variables(m: Column) -> Column:
+        listed = F.split(F.regexp_replace(F.regexp_extract(m, code.FIELD, 4), r"=[^,]*", ""), ",")
+        names = F.filter(F.transform(listed, lambda n: F.trim(n)), lambda n: n.rlike(f"^{code.ID}$"))
+        return F.transform(
+            names,
+            lambda n: _declaration(
+                "field",
+                n,
+                F.regexp_extract(m, code.FIELD, 3),
+                code.attribute_names(F.regexp_extract(m, code.FIELD, 1)),
+            ),
+        )
+
+    fields = F.flatten(F.transform(found(code.FIELD), variables))
+    return F.concat(methods, built, fields)
+
+
+def declaration_inventory(files: DataFrame) -> DataFrame:
+    """Classes, methods, fields and parameters as one table.
+
+    (repo_id, path, containing_class, kind, name, type, attributes, parameters). The containing class is
+    the one whose header comes last before the member. One scan, one stage.
+    """
+    pieces = files.select("repo_id", "path", F.explode(code.type_pieces(F.col("content"))).alias("text"))
+    header = F.regexp_extract("text", f"^{code.TYPE_HEADER}", 1)
+    owner = F.when(header.rlike(rf"(?<!{code.WORD})class\s+{code.ID}$"), F.regexp_extract(header, rf"({code.ID})$", 1))
+    own = _declaration(
+        "class",
+        owner,
+        F.lit(None).cast("string"),
+        code.attribute_names(F.regexp_extract(header, r"^((?:\[[^\[\]]*+\]\s*+)*+)", 1)),
+    )
+    classes = F.when(owner.isNotNull(), F.array(own)).otherwise(F.array().cast(f"array<{_DECLARATION}>"))
+    rows = pieces.select(
+        "repo_id", "path", owner.alias("containing_class"), F.explode(F.concat(classes, _members(F.col("text")))).alias("d")
     )
-    params = lists.select("repo_id", "path", "containing_class", F.explode(code.parameters(F.col("list"))).alias("p"))
-    param_rows = shaped(params, "parameter", F.col("p.name"), F.col("p.type"), F.col("p.attributes"), F.array(F.col("p")))
-    return classes.unionByName(methods).unionByName(field_rows).unionByName(param_rows)
+    return rows.select("repo_id", "path", "containing_class", "d.*")
 
 
 # Node types of rules and the inventory rows they look at.
@@ -104,12 +119,15 @@ _KINDS = {
 }
 
 
+_ANY_NAME = "*"  # no C# name
+
+
 def _given(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
 
 def _targets(nodes: DataFrame) -> DataFrame:
-    """Rule nodes with the inventory kind and the lower-cased name they ask for (null: any name)."""
+    """Rule nodes with the inventory kind and the lower-cased name they ask for, or the sign for any."""
     kind = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[F.lower("node.type")]
     name = (
         F.when(kind.isin("call", "method"), F.col("node.method_name"))
@@ -122,7 +140,7 @@ def _targets(nodes: DataFrame) -> DataFrame:
         "rule_name",
         "node_ord",
         kind.alias("_kind"),
-        F.lower(F.nullif(name, F.lit(""))).alias("_name"),
+        F.coalesce(F.lower(F.nullif(name, F.lit(""))), F.lit(_ANY_NAME)).alias("_name"),
         F.lower("node.containing_type").alias("_class"),
         F.coalesce("node.attributes", F.array().cast("array<string>")).alias("_attributes"),
         F.coalesce("node.parameters", F.array().cast("array<struct<type:string,name:string>>")).alias("_parameters"),
@@ -160,11 +178,11 @@ def rule_hits(inventory: DataFrame, nodes: DataFrame, declarations: bool) -> Dat
     Type and namespace demands are not checked for calls: text alone cannot tell.
     """
     rows = inventory if declarations else inventory.withColumn("kind", F.lit("call")).withColumn("name", F.col("method"))
-    keyed = rows.withColumn("_kind", F.col("kind")).withColumn("_name", F.lower("name"))
-    wanted = _targets(nodes)
-    named = keyed.join(small(wanted.filter(F.col("_name").isNotNull())), ["_kind", "_name"])
-    every = keyed.join(small(wanted.filter(F.col("_name").isNull()).drop("_name")), "_kind").select(named.columns)
-    hits = named.unionByName(every)
+    # A row is looked up under its own name and under the sign for "any", so the inventory runs once.
+    keyed = rows.withColumn("_kind", F.col("kind")).withColumn(
+        "_name", F.explode(F.array(F.lower("name"), F.lit(_ANY_NAME)))
+    )
+    hits = keyed.join(small(_targets(nodes)), ["_kind", "_name"])
     if declarations:
         hits = hits.filter(_declaration_matches())
     return hits.drop("_kind", "_name", "_class", "_attributes", "_parameters")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetbump.functions.patterns import BUCKETS, status_bucket
+from fleetbump.functions.patterns import status_bucket
 from fleetbump.operators.status import bucket_rank, status_counters
 
 LINE_ORDER = ["section", "key", "seq", "pos"]
@@ -275,16 +275,3 @@ def numbered_changes(changes: DataFrame) -> DataFrame:
         .withColumn("change_no", F.col("_start") + F.col("_i"))
         .drop("_start", "_i")
     )
-
-
-__all__ = [
-    "BUCKETS",
-    "LINE_ORDER",
-    "entry_lines",
-    "numbered_changes",
-    "report_summary",
-    "rollback_section",
-    "status_report",
-    "update_report",
-    "version_line",
-]

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetbump.functions.naming import TITLE_SUFFIX, branch_name, request_title
-from fleetbump.functions.patterns import truncate
 from fleetbump.functions.references import Target, all_references, deciding_references, mentions_any
 from fleetbump.functions.versions import is_update, upgrade_decision, version_key
 from fleetbump.operators.catalog import with_target_branch
@@ -264,7 +263,3 @@ def preview_head(rows: DataFrame, keys: list[str], order: Column, k: int) -> Dat
     head = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     return head.join(totals, keys).withColumn("more", F.greatest(F.col("_total") - k, F.lit(0))).drop("_total")
-
-
-def short_change(text: Column) -> Column:
-    return truncate(text, 60)

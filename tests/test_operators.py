@@ -42,6 +42,7 @@ def ids(df):
 
 def test_repository_filters(repos):
     assert ids(catalog.drop_ignored(repos, ["OLD-*", "other/*"])) == ["1", "4"]
+    assert ids(catalog.drop_ignored(repos, " old-* ,, *APP ")) == ["1", "4"]
     assert ids(catalog.drop_ignored(repos, [])) == ["1", "2", "3", "4"]
     assert ids(catalog.drop_forks(repos)) == ["1", "3", "4"]
     assert ids(catalog.in_scope(repos, group="group", owned=True)) == ["1", "2"]
