@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetbump.functions.patterns import let, quote_java, quote_replacement
+from fleetbump.functions.patterns import quote_java, quote_replacement
 
 OPEN, CLOSE, TRIM = "\u0001", "\u0002", "\u0003"
 

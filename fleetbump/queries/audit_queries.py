@@ -1,7 +1,5 @@
 """Request-log audit, batch and streaming."""
 
-from pyspark.sql import functions as F
-
 from fleetbump.operators import audit
 from fleetbump.queries import standins as s
 from fleetbump.queries.registry import query
