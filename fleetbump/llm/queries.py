@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetbump.llm import near_dedup
+from fleetbump.llm import (
+    decontaminate,
+    exact_dedup,
+    hmm,
+    html_text,
+    license_scan,
+    near_dedup,
+    packing,
+    perplexity,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -31,3 +42,62 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "class_id", "class_size", "class_nodes", (F.col("doc_id") == F.col("class_id")).alias("kept")
     )
+
+
+@query("op2_quality_filter")
+def op2_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_exact_dedup",
+    """
+    WITH digested AS (
+      SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
+        AS text_sha256
+      FROM documents)
+    SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+      count(*) OVER (PARTITION BY text_sha256) AS group_size,
+      doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
+    FROM digested
+    """,
+)
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_html_text")
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
+@query("op7_url_filter")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op8_hidden_markov")
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_license_scan", license_scan.scan_sql())
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))

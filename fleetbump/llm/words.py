@@ -117,7 +117,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(1, k):
         factor = factor * int(_ODD) % (1 << 64)
         shifted = np.zeros(n, dtype=_U)
-        shifted[: n - j] = words.hashes[j:]
+        shifted[: max(n - j, 0)] = words.hashes[j:]
         shifted[at + j >= ends] = 0
         total += shifted * _U(factor)
     keep = np.flatnonzero((at + k <= ends) | (at == begins))
