@@ -178,8 +178,9 @@ def _encoder(v: Vocabulary, s: Settings):
                 kind[shared] = s.own + 1 + shape[shared]
                 logs = np.log10(count + 0.5)
                 base = np.bincount(rows[listed], logs[listed], n) + np.log10(v.ends + 0.5)
-                mixed = np.bincount(rows[shared & listed], logs[shared & listed], n)
-                mixed -= np.bincount(rows[shared], inner[shape[shared]], n)
+                mixed = np.zeros(n)
+                np.add.at(mixed, rows[shared & listed], logs[shared & listed])
+                np.subtract.at(mixed, rows[shared], inner[shape[shared]])
                 known = np.bincount(rows[listed], minlength=n) + known_end
                 # Each row's classes, then its end.
                 ends = words.first[1:] + np.arange(n)

@@ -11,8 +11,8 @@ the executors.
    similarity. Texts that are equal byte for byte are one node from here on.
 3. Nodes that agree on all samples of a band share a bucket. Every node is first compared with the smallest node of each
    of its buckets. Buckets that still hold several components then compare every node outside the largest component
-   with all nodes of other components, a block of such nodes at a time, so no link between candidates is lost and a
-   bucket of similar texts, however large, costs one comparison a node.
+   with all nodes of other components, in bounded goes, so no link between candidates is lost and a bucket of similar
+   texts, however large, costs one comparison a node.
 4. Comparisons compute the weighted Jaccard similarity of the whole texts; the links of 0.8 or more give the classes.
 
 Edge cases: null text counts as empty; a text without words is alone unless the same bytes occur again; one to four
@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fleetbump.llm.tables import components, written
 from fleetbump.llm.words import chunks, mix, shingles, words_of
@@ -41,12 +40,12 @@ _U = np.uint64
 class Settings:
     words: int = 5
     similarity: float = 0.8
-    bands: int = 14
+    bands: int = 12
     rows: int = 4
     rare: float = 0.001
     seed: int = 20
-    # Nodes of a bucket that are compared with the rest of it in one go.
-    block: int = 32
+    # Candidate pairs made in one go, for each node of the table.
+    pairs_per_node: int = 64
 
 
 # Weights are 2 ** (level / 8), for levels of this range: mean idf is at least 0.1 and tf at most e ** 31.
@@ -245,26 +244,20 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         ),
         "nodes",
     )
-    members = reps.select("node", "weight", F.posexplode("bands").alias("band", "value"))
-    buckets = members.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("lead"))
-    buckets = buckets.where("n > 1")
-    members = written(members.join(buckets.select("band", "value", "n", "lead"), ["band", "value"]), "buckets")
-    light = members.select("node", "weight").distinct()
-
-    def close(pairs: DataFrame) -> DataFrame:
-        # The similarity is at most the smaller total weight over the larger one.
-        least = s.similarity - 1e-9
-        pairs = pairs.distinct().join(light.select(F.col("node").alias("a"), F.col("weight").alias("wa")), "a")
-        pairs = pairs.join(light.select(F.col("node").alias("b"), F.col("weight").alias("wb")), "b")
-        return pairs.where(F.least("wa", "wb") >= least * F.greatest("wa", "wb")).select("a", "b")
-
-    first = written(
-        close(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))), "pairs"
+    # A band's value is drawn with the band's own constants, so values of different bands do not meet.
+    members = reps.select("node", "weight", F.explode("bands").alias("value"))
+    buckets = members.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("node", "weight")).alias("lead"))
+    members = written(members.join(buckets.where("n > 1"), "value"), "buckets")
+    led = members.where("node <> lead.node").select(
+        F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.weight").alias("wa"), F.col("weight").alias("wb")
     )
-    links = written(similar_links(docs, first, reps, idf, s), "links")
+    done = written(_comparable(led, s), "pairs")
+    links = written(similar_links(docs, done, reps, idf, s), "links")
     roots = components(links)
-    links = _remaining(docs, members, roots, first, links, close, reps, idf, s)
-    roots = components(links) if links is not None else roots
+    more = _remaining(docs, members, roots, done, reps, idf, s)
+    if more is not None and not more.isEmpty():
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(known.unionByName(more.select("a", "b")))
     placed = reps.select("node", "rep").join(roots, "node", "left")
     placed = written(placed.select("node", "rep", F.coalesce("root", "node").alias("root")), "placed")
     sized = signed.groupBy("node").agg(F.count("*").alias("rows")).join(placed, "node")
@@ -277,33 +270,43 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return signed.select("doc_id", "node").join(by_node, "node")
 
 
-def _remaining(docs, members, roots, done, links, close, reps, idf, s: Settings) -> DataFrame | None:
-    """Links with those between components that share a bucket; None if no such pair is left."""
-    placed = members.select("band", "value", "node").join(roots, "node", "left")
+def _comparable(pairs: DataFrame, s: Settings) -> DataFrame:
+    """Distinct pairs whose weights allow the similarity: it is at most the smaller total weight over the larger one."""
+    near = F.least("wa", "wb") >= (s.similarity - 1e-9) * F.greatest("wa", "wb")
+    return pairs.where(near).select("a", "b").distinct()
+
+
+def _remaining(docs, members, roots, done, reps, idf, s: Settings) -> DataFrame | None:
+    """Links between components that share a bucket; None if no bucket holds several.
+
+    In each such bucket, all nodes outside the largest component are paired with all nodes of other components. The
+    pairs are made in as many goes as keep one go within ``pairs_per_node`` pairs for each node of the table.
+    """
+    placed = members.select("value", "node", "weight").join(roots, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node"))
-    parts = placed.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("band", "value").agg(
-        F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts")
+    parts = placed.groupBy("value", "root").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("value").agg(
+        F.max_by("root", F.struct("n", "root")).alias("largest"),
+        F.count("*").alias("parts"),
+        F.sum("n").alias("all"),
     )
     open_ = open_.where("parts > 1")
-    placed = written(placed.join(open_.select("band", "value", "largest"), ["band", "value"]), "open")
-    minority = placed.where("root <> largest")
-    order = Window.partitionBy("band", "value").orderBy("node")
-    minority = written(
-        minority.withColumn("turn", F.floor((F.row_number().over(order) - 1) / s.block)), "minority"
-    )
-    last = minority.agg(F.max("turn")).first()[0]
-    if last is None:
+    placed = written(placed.join(open_, "value"), "open")
+    size = placed.where("root <> largest").agg(F.sum("all")).first()[0]
+    if not size:
         return None
-    for turn in range(last + 1):
-        lead = minority.where(F.col("turn") == turn).select(
-            "band", "value", F.col("node").alias("x"), F.col("root").alias("xr")
+    goes = -(-size // (s.pairs_per_node * reps.count()))
+    links = None
+    for go in range(goes):
+        lead = placed.where((F.col("root") != F.col("largest")) & (F.pmod(F.xxhash64("node"), F.lit(goes)) == go))
+        lead = lead.select("value", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("weight").alias("wb"))
+        pairs = placed.join(lead, "value").where("root <> xr")
+        pairs = pairs.select(
+            F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"), F.col("weight").alias("wa"), "wb"
         )
-        pairs = placed.join(lead, ["band", "value"]).where("root <> xr")
-        pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-        pairs = written(close(pairs).join(done, ["a", "b"], "left_anti"), "pairs")
-        done = done.unionByName(pairs)
-        links = links.unionByName(written(similar_links(docs, pairs, reps, idf, s), "links"))
+        pairs = written(_comparable(pairs, s).join(done, ["a", "b"], "left_anti"), "pairs")
+        found = written(similar_links(docs, pairs, reps, idf, s), "links")
+        links = found if links is None else links.unionByName(found)
     return links
 
 
