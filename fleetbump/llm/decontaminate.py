@@ -8,8 +8,8 @@ executors and searched by all documents, one scan for each shard.
 Search: passages are windows of ``3 * stride`` words, one every ``stride`` words, over the whole text; any run of up to
 ``2 * stride`` words lies in one of them. Pruning is that of block-max WAND and loses nothing:
 
-- the lightest words of a segment, together below the threshold, cannot reach it alone; a segment becomes a candidate only
-  through one of its other, essential, words (the pivot);
+- the lightest words of a segment, together below a share of the threshold, cannot reach it alone; a segment becomes a
+  candidate only through its other, essential, words (the pivot);
 - segments stand in blocks; per word and block the largest impact is kept, and a (passage, block) pair is opened only if
   these maxima and the block's largest inessential rest reach the threshold;
 - then essential impacts are summed per segment, and what may still reach the threshold is scored in full.
@@ -41,12 +41,14 @@ _U = np.uint64
 class Settings:
     segment: int = 48
     stride: int = 32
-    threshold: float = 0.5
+    threshold: float = 0.6
     overlap: float = 0.8
     words: int = 5
     k1: float = 1.2
     b: float = 0.75
     block: int = 16
+    # Share of the threshold that a segment's inessential words may make up. Any share gives the same result.
+    light: float = 0.3
     # Postings of one shard of the index, on average.
     shard_postings: int = 1_000_000
 
@@ -149,7 +151,7 @@ def _shard(got, texts, s: Settings) -> Index:
     for i in range(count):
         a, b = begins[i], begins[i + 1]
         order = np.argsort(impact[a:b], kind="stable")
-        light = np.cumsum(impact[a:b][order]) < s.threshold - 1e-9
+        light = np.cumsum(impact[a:b][order]) < s.light * s.threshold - 1e-9
         essential[a + order[~light]] = True
         rest[i] = impact[a + order[light]].sum()
     order = np.lexsort((segment[essential], word[essential]))
@@ -248,12 +250,21 @@ def verified(words: Words, index: Index, s: Settings) -> list[tuple[int, int, fl
             if b - a >= s.words:
                 # Questions and answers of fewer words than a shingle are looked up as shorter runs.
                 seen[row] = np.concatenate([seen[row], *(_runs(own.hashes, n) for n in range(1, s.words))])
-        shares = [float(np.isin(x, seen[row]).mean()) if len(x) else 1.0 for x in index.item_shingles[item]]
+            seen[row] = np.sort(seen[row])
+        shares = [_share(x, seen[row]) for x in index.item_shingles[item]]
         if shares[0] >= s.overlap:
             out.append((row, item, score, *shares))
     return out
 
 
+def _share(wanted: np.ndarray, held: np.ndarray) -> float:
+    """Share of the wanted hashes among the (sorted) held ones."""
+    if not len(wanted):
+        return 1.0
+    at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+    return float((held[at] == wanted).mean())
+
+
 def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` words, as a text of just these words has them."""
     starts = np.arange(len(hashes) - n + 1)

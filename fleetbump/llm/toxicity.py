@@ -3,15 +3,15 @@
 The kernel of two strings sums ``decay ** (spans)`` over their common subsequences of ``order`` letters (Lodhi et al.
 2002), normalised to 1 for equal strings, so a gapped, spelled-out or misspelled insult is still close to the insult. A
 sentence is a set of units: its words' letters, and the letters of three or more words of one or two characters in a row
-("i d i o t"). Units of over 24 letters are taken in overlapping windows. The kernel of a sentence and a landmark is the
-largest over its units; values under ``floor``, and units that lack more than one of a landmark's letters, count as 0.
+("i d i o t"). Units of over 24 letters are taken in overlapping windows. A sentence scores as its highest unit does, so
+one insult is enough. Kernels under ``floor``, and of units that lack more than one of a landmark's letters, count as 0.
 
 Training, on at most ``sample`` labelled rows of each class (a documented bound; the choice is by hash of the id):
 
 1. Landmarks are units that stand in far more toxic than clean documents, and the clean units closest to these.
-2. A sentence's features are its kernels with the landmarks times the inverse root of the landmarks' own kernel matrix.
-3. A linear machine (squared hinge) is fitted on sentences: of a clean document all are clean; of a toxic document the
-   one that scores highest is toxic, chosen anew a few times.
+2. A unit's features are its kernels with the landmarks times the inverse root of the landmarks' own kernel matrix.
+3. A linear machine (squared hinge) is fitted on the sentences' units that are nearest to landmarks: of a clean document
+   all are clean; of a toxic document those are toxic that the last machine says so of, and the highest in any case.
 4. A document's margin is the highest of its sentences; a sigmoid fitted on the sample, weighed to the classes' true
    shares, makes it a probability.
 
@@ -39,12 +39,12 @@ from fleetbump.llm.words import Words, chunks, words_of
 @dataclass(frozen=True)
 class Settings:
     order: int = 3
-    decay: float = 0.6
+    decay: float = 0.75
     floor: float = 0.3
     landmarks: int = 20
     background: int = 4
     sample: int = 3000
-    sentences: int = 4
+    units: int = 6
     cost: float = 1.0
     reject: float = 0.7
 
@@ -60,7 +60,8 @@ class Model:
 
 
 LONGEST, STEP = 24, 8
-SPELLED = re.compile(r"(?<![^ \t-\r])[^ \t-\r]{1,2}(?:[ \t-\r]+[^ \t-\r]{1,2}){2,}(?![^ \t-\r])")
+SHORT = re.compile(r"(?<![^ \t-\r])[^ \t-\r]{1,2}(?:[ \t-\r]+[^ \t-\r]{1,2}){2,}(?![^ \t-\r])")
+SPELLED = re.compile(r"(?<![^ \t-\r])[^ \t-\r](?:[ \t-\r]+[^ \t-\r]){2,}(?![^ \t-\r])")
 SENTENCE = re.compile(r"[.!?]+\s|\n")
 WORD = re.compile(r"[^ \t-\r]+")
 SPACES = re.compile(r"[ \t-\r]+")
@@ -76,11 +77,15 @@ def letters(word: str) -> list[str]:
     return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST + STEP, STEP)]
 
 
+def runs_in(text: str) -> set[str]:
+    """Runs of very short words, and of words of one character within them, put together."""
+    found = SHORT.findall(text)
+    return {SPACES.sub("", run) for run in found + [own for run in found for own in SPELLED.findall(run)]}
+
+
 def words_and_runs(text: str) -> set[str]:
-    """Raw units of lower-cased text: its words, and runs of very short words."""
-    found = set(WORD.findall(text))
-    found.update(SPACES.sub("", run) for run in SPELLED.findall(text))
-    return found
+    """Raw units of lower-cased text."""
+    return {*WORD.findall(text), *runs_in(text)}
 
 
 def _points(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,8 +209,7 @@ class Scorer:
         three = short[:-2][(short[2:] - short[:-2] == 2) & (rows[short[2:]] == rows[short[:-2]])]
         runs = {}
         for row in np.unique(rows[three[_letters_only(words, three)]]).tolist():
-            text = (column[row].as_py() or "").lower()
-            runs[row] = {SPACES.sub("", run) for run in SPELLED.findall(text)}
+            runs[row] = runs_in((column[row].as_py() or "").lower())
         unmet = sorted(set().union(*runs.values()) - self.runs)
         self._learn(unmet)
         self.runs.update(unmet)
@@ -214,18 +218,12 @@ class Scorer:
         return out
 
     def sentences(self, text: str) -> list[np.ndarray]:
-        """Kernels of the sentences that are near a landmark; a run over the end of a sentence counts by itself."""
-        out, seen = [], set()
-        for sentence in SENTENCE.split(text):
-            own = words_and_runs(sentence)
-            seen |= own
-            rows = [self.near[w] for w in own if w in self.near]
-            if rows:
-                out.append(np.max(rows, axis=0))
-        return out + [self.near[w] for w in words_and_runs(text) - seen if w in self.near]
+        """Kernels of the sentences' units that are near a landmark, and of runs over the end of a sentence."""
+        held = words_and_runs(text).union(*map(words_and_runs, SENTENCE.split(text)))
+        return [self.near[w] for w in sorted(held) if w in self.near]
 
     def features(self, column: pa.Array) -> list[list[np.ndarray]]:
-        """The sentences near a landmark of each row."""
+        """The units near a landmark of each row."""
         near = self.rows_near(column)
         return [
             self.sentences((column[i].as_py() or "").lower()) if near[i] else [] for i in range(len(column))
@@ -273,7 +271,7 @@ def _landmarks(sample: DataFrame, classes: tuple[int, int], s: Settings) -> list
     counts = counts.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     counts = written(counts, "units")
     lift = (F.col("a") / toxic) / ((F.col("b") + 0.5) / clean)
-    strong = counts.where((F.col("a") >= max(2, toxic // 100)) & (lift >= 20) & (F.length("unit") > s.order))
+    strong = counts.where((F.col("a") >= max(2, toxic // 20)) & (lift >= 20) & (F.length("unit") > s.order))
     strong = [r.unit for r in strong.orderBy(F.desc("a"), "unit").limit(s.landmarks).collect()]
     if not strong:
         return []
@@ -290,7 +288,7 @@ def _landmarks(sample: DataFrame, classes: tuple[int, int], s: Settings) -> list
 
 
 def _instances(landmarks: list[str], s: Settings):
-    """The sentences of each document that are nearest to landmarks, at most ``sentences``; one of zeros if none is."""
+    """The units of each document that are nearest to landmarks, at most ``units``; one of zeros if none is."""
 
     def pick(batches):
         scorer = Scorer(landmarks, s)
@@ -304,7 +302,7 @@ def _instances(landmarks: list[str], s: Settings):
                     strict=True,
                 ):
                     found = sorted(found, key=lambda x: -x.max()) or [np.zeros(len(landmarks))]
-                    rows += [(doc, toxic, x.tolist()) for x in found[: s.sentences]]
+                    rows += [(doc, toxic, x.tolist()) for x in found[: s.units]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int64()),
@@ -356,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     if not landmarks:
         base = min(max(prior, 1e-9), 1 - 1e-9)
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(base / (1 - base))))
-    # At most 2 * sample * sentences rows of as many numbers as there are landmarks.
+    # At most 2 * sample * units rows of as many numbers as there are landmarks.
     got = sample.mapInArrow(
         _instances(landmarks, s), "doc long, toxic long, near array<double>"
     ).toPandas().sort_values(["doc"], kind="stable", ignore_index=True)
@@ -369,13 +367,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     doc = got["doc"].to_numpy()
     weight = np.where(label == 1, prior / toxic, (1 - prior) / clean) * len(doc)
     margin = near.max(axis=1)
-    for _ in range(5):
+    positive = (label == 1) & (margin > 0)
+    for _ in range(6):
         order = np.lexsort((-margin, doc))
         best = np.zeros(len(doc), dtype=bool)
         best[order[np.append(True, doc[order][1:] != doc[order][:-1])]] = True
-        use = (label == 0) | best
-        w = _machine(x[use], np.where(label[use] == 1, 1.0, -1.0), weight[use] / weight[use].mean(), s.cost)
+        positive |= (label == 1) & best
+        use = (label == 0) | positive
+        w = _machine(x[use], np.where(positive[use], 1.0, -1.0), weight[use] / weight[use].mean(), s.cost)
         margin = x @ w[:-1] + w[-1]
+        positive = (label == 1) & (margin > 0)
     slope, offset = _sigmoid(margin[best], label[best], weight[best] / weight[best].mean())
     return Model(landmarks, root @ w[:-1], float(w[-1]), slope, offset)
 
