@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetbump.functions.patterns import quote_java, quote_replacement
+from fleetbump.functions.patterns import let, quote_java, quote_replacement
 
 OPEN, CLOSE, TRIM = "\u0001", "\u0002", "\u0003"
 
@@ -74,18 +74,30 @@ ARGUMENTS = _parens(3)
 _TAIL = rf"\s*+(?:{GENERIC})?+\s*+{ARGUMENTS}"
 
 
-def has_marks(content: Column) -> Column:
-    return content.rlike(f"[{OPEN}{CLOSE}{TRIM}]")
+# What a mark that stands in a file is read as meanwhile: code points that Unicode keeps out of text.
+_HELD = "\ufdd0\ufdd1\ufdd2"
 
 
 def mark_calls(content: Column) -> Column:
-    """Put marks around every name that is called."""
-    marked = F.regexp_replace(content, f"({_SKIPPED})|{_HEAD}", f"$1{OPEN}$2{CLOSE}")
+    """Put marks around every name that is called; marks of the file itself are held aside until ``unmark``."""
+    plain = F.translate(content, OPEN + CLOSE + TRIM, _HELD)
+    marked = F.regexp_replace(plain, f"({_SKIPPED})|{_HEAD}", f"$1{OPEN}$2{CLOSE}")
     return F.replace(marked, F.lit(OPEN + CLOSE), F.lit(""))
 
 
 def unmark(marked: Column) -> Column:
-    return F.translate(marked, OPEN + CLOSE, "")
+    return F.translate(F.translate(marked, OPEN + CLOSE, ""), _HELD, OPEN + CLOSE + TRIM)
+
+
+def _until_stable(text: Column, step, most: Column) -> Column:
+    """``step`` applied until nothing changes; ``most`` bounds how often it can change anything."""
+
+    def go(state: Column, _: Column) -> Column:
+        after = F.when(state["changed"], step(state["text"])).otherwise(state["text"])
+        return let(after, lambda t: F.struct(t.alias("text"), (t != state["text"]).alias("changed")))
+
+    start = F.struct(text.alias("text"), F.lit(True).alias("changed"))
+    return F.aggregate(F.sequence(F.lit(0), most), start, go, lambda state: state["text"])
 
 
 def code_only(content: Column) -> Column:
@@ -172,12 +184,14 @@ def remove_call(marked: Column, method: str | None) -> Column:
     # The receiver of a statement call, if any, holds no call itself.
     statement = rf"(?:{_IDLE_LINE})*+[ \t]*+(?:{ID}\s*+\.\s*+)*+{call}\s*+;{_LINE_END}"
     start = rf"([;{{}}][ \t]*+(?://[^\r\n]*+)?\r?\n(?:(?:{_IDLE_LINE})*+{_DIRECTIVE_LINE})*+|\A)"
-    for _ in range(2):  # statements that take turns with directive lines need a second pass
-        text = F.regexp_replace(text, rf"{start}(?:{statement})++", "$1")
+    # Statements that take turns with directive lines need as many passes as there are calls, at most.
+    count = F.regexp_count(marked, F.lit(_name(method)))
+    text = _until_stable(text, lambda t: F.regexp_replace(t, rf"{start}(?:{statement})++", "$1"), count)
     text = F.regexp_replace(text, rf"([;{{}}])[ \t]*+(?:{ID}\s*+\.\s*+)*+{call}\s*+;", "$1")
     text = F.regexp_replace(text, rf"(?<=[)]){link}", "")
     text = F.regexp_replace(text, rf"([=(,?:&|+!\[>]\s*+|(?<!{_W})return\s++)({path}){link}", "$1$2")
-    return F.regexp_replace(text, rf"(?={OPEN})(?<!\.\s{{0,80}}){call}\s*+\.\s*+(?=[{OPEN}\p{{L}}_])", "")
+    # A name after a dot is stepped over, so only the first link of a chain is met.
+    return F.regexp_replace(text, rf"(\.\s*+{OPEN})|{call}\s*+\.\s*+(?=[{OPEN}\p{{L}}_])", "$1")
 
 
 _ARG_PLAIN = rf"""[^()"'/@$,\[\]{{}}]++|{_STRING}|{_COMMENT}|[/'@$]"""
@@ -201,8 +215,8 @@ def remove_argument(marked: Column, method: str | None, argument: str | None) ->
     named = rf"{ID}\s*+:(?!:)\s*+"
     head = rf"{_name(method)}\s*+(?:{GENERIC})?+\s*+\("
     plain = rf"\s*+(?:{named})?+{wanted}{_END}\s*+"
-    text = marked
-    for _ in range(2):
+
+    def step(text: Column) -> Column:
         # Last or only one: the comma before it is cut together with the mark.
         text = F.regexp_replace(text, rf"({head}(?:{_ARG},)*+){plain}\)", f"$1{TRIM})")
         text = F.replace(F.regexp_replace(text, rf"\s*+,\s*+{TRIM}", ""), F.lit(TRIM), F.lit(""))
@@ -210,7 +224,16 @@ def remove_argument(marked: Column, method: str | None, argument: str | None) ->
         for going in (rf"{named}{wanted}{_END}\s*+,", rf"{wanted}{_END}\s*+,{rest_named}"):
             ahead = rf"(?:(?!\s*+{going}){_ARG},)*+"
             text = F.regexp_replace(text, rf"({head}{ahead}\s*+){going}\s*+", "$1")
-    return text
+        return text
+
+    # Each pass drops one argument of a call, so there are as many as the name occurs, at most.
+    return _until_stable(marked, step, F.regexp_count(marked, F.lit(rf"(?<!{_W}){wanted}{_END}")))
+
+
+def unbounded(marked: Column, method: str) -> Column:
+    """Is there a call of the method whose argument list could not be followed to its end?"""
+    head = rf"{_name(method)}\s*+(?:{GENERIC})?+\s*+\("
+    return marked.rlike(rf"{head}(?!(?:{_ARG},)*+{_ARG}\))")
 
 
 def _local_declaration(name: str) -> str:
@@ -248,7 +271,8 @@ def remove_unused_local(marked: Column, name: str) -> Column:
 def left_over(marked: Column, method: str) -> Column:
     """Does a call of the method remain that should have gone (its text could not be bounded)?"""
     head = _name(method)
-    return marked.rlike(rf"(?<!\?)\.\s*+{head}|(?:[;{{}}):]|(?<!{_W})(?:else|do))\s*+{head}")
+    lines = r"\s*+(?:#[^\r\n]*+\s*+)*+"
+    return marked.rlike(rf"(?<!\?)\.\s*+{head}|(?:[;{{}}):]|(?<!{_W})(?:else|do)){lines}{head}")
 
 
 def in_text(content: Column, marked: Column, method: str) -> Column:

@@ -227,7 +227,7 @@ def _candidates(files: DataFrame, steps: list[tuple[int, str, dict, dict]]) -> D
     wanted = F.lit(False)
     for name in dict.fromkeys(node.get("method_name") for _, _, node, _ in steps):
         wanted = wanted | _mentions(F.col("content"), name)
-    return files.filter(F.col("path").endswith(".cs") & wanted & ~code.has_marks(F.col("content")))
+    return files.filter(F.col("path").endswith(".cs") & wanted)
 
 
 def _next(before: Column, node: dict, action: dict) -> Column:
@@ -264,6 +264,8 @@ def _needs_review(content: Column, states: list[Column], steps: list[tuple[int,
             test = code.in_text(content, states[0], method)
             if str(action["type"]).lower() == "remove_invocation":
                 test = test | code.left_over(states[-1], method)
+            elif str(action["type"]).lower() == "remove_argument":
+                test = test | code.unbounded(states[-1], method)
             tests.append((method, F.when(_mentions(content, method), test).otherwise(F.lit(False))))
     return tests
 

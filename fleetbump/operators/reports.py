@@ -198,8 +198,10 @@ _HEADINGS = {"merged": "Merged", "opened": "Open", "closed": "Closed", "unknown"
 def status_report(tracked: DataFrame, meta: DataFrame, generated: str, errors: int = 0, updated: int = 0) -> DataFrame:
     """Status report as lines (section, key, seq, pos, line); section 0 is the summary, then buckets."""
     counts = status_counters(tracked)
+    # Over several tracking documents, a name stands only if they agree on it.
+    agreed = meta.agg(*[F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in ("package_name", "new_version")])
     # One counter row, one metadata row: both sides are single rows by construction.
-    one = counts.withColumn("_k", F.lit(1)).join(meta.limit(1).withColumn("_k", F.lit(1)), "_k", "left")
+    one = counts.withColumn("_k", F.lit(1)).join(agreed.withColumn("_k", F.lit(1)), "_k", "left")
     head = F.array(
         F.lit(""),
         F.lit("# Merge Request Status Report"),

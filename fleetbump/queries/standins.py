@@ -21,9 +21,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table read as a stream of its files."""
-    reader = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(sf)
+    """A table read as a stream of its files, be it one file or a folder of them."""
+    # A stream's path must be a folder or a pattern; this one matches just the table.
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def text(column: str) -> Column:

@@ -33,9 +33,11 @@ def build_session(master: str | None = None, app: str = "fleetbump", **extra: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can read: the cluster's checkpoint folder, or a fresh one where unset."""
+    """Folder every executor can read: the cluster's checkpoint folder; a fresh local one on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fleetbump-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

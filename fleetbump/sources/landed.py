@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,12 +92,18 @@ def entries_of(documents: DataFrame) -> DataFrame:
     return documents.select(F.posexplode("migrations").alias("ord", "m")).select("m.*", "ord")
 
 
-def read_migration_list(path: str) -> list[dict]:
-    """The rule file itself (small by nature), with the last definition of each id kept."""
+def read_migration_list(path: str, missing_ok: bool = True) -> list[dict]:
+    """The rule file itself (small by nature), with the last definition of each id kept.
+
+    It is read by the active session, so from any store Spark reads. A file that is not there is an empty list, or an
+    error unless ``missing_ok``.
+    """
+    spark = SparkSession.active()
     try:
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
-    except FileNotFoundError:
+        text = spark.read.text(path, wholetext=True).first()[0]
+    except AnalysisException as e:
+        if not missing_ok or e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
     if path.endswith(".json"):
         data = json.loads(text)

@@ -233,3 +233,31 @@ def test_long_file_does_not_overflow(spark):
     assert removed(spark, wide) == "x = s.B();"
     df = spark.createDataFrame([("r", "a.cs", wide)], "repo_id string, path string, content string")
     assert corpus.call_inventory(df).agg(F.count(F.lit(1))).first()[0] == 2
+
+
+FOUR = "class C {\n    void M() {\n        s.Add(flag, flag, flag, flag);\n    }\n}\n"
+
+
+def test_every_argument_of_the_name_goes(spark):
+    row = apply(spark, FOUR, rule("remove_argument", "Add", argument_name="flag"))
+    assert "s.Add();" in row.content and not row.needs_review
+
+
+def test_calls_that_cannot_be_followed_are_flagged(spark):
+    text = "class C {\n    void M() {\n        s.Add(f(g(h(i(1)))), flag);\n        s.Add(1, flag);\n    }\n}\n"
+    row = apply(spark, text, rule("remove_argument", "Add", argument_name="flag"))
+    assert "s.Add(1);" in row.content and row.needs_review
+
+
+def test_statements_that_take_turns_with_directives_all_go(spark):
+    lines = ["#if A", "        s.Old();", "#endif", "        s.Old();", "#pragma x", "        s.Old();", "#region r", "        s.Old();", "#endregion"]
+    text = "class C {\n    void M() {\n        Go();\n" + "\n".join(lines) + "\n    }\n}\n"
+    row = apply(spark, text, rule("remove_invocation", "Old"))
+    assert "Old" not in row.content and not row.needs_review
+    assert [x for x in lines if x.startswith("#")] == [x for x in row.content.splitlines() if x.startswith("#")]
+
+
+def test_files_with_mark_characters_are_rewritten_and_keep_them(spark):
+    text = "class C {\n    string a = \"\u0001\u0002\u0003\";\n    void M() {\n        Go();\n        s.Old();\n    }\n}\n"
+    row = apply(spark, text, rule("remove_invocation", "Old"))
+    assert row.content == text.replace("        s.Old();\n", "")
