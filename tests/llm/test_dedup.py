@@ -28,7 +28,7 @@ def test_exact_groups_equal_brute_force(documents):
         ids = digests[r.text_sha256]
         assert r.group_size == len(ids)
         assert r.keep_id == max((i for i in ids if i is not None), default=None)
-    assert Counter(r.text_sha256 for r in found if r.kept) == Counter(digests)
+    assert Counter(r.text_sha256 for r in found if r.kept) == Counter(list(digests))
     assert all(r.doc_id == r.keep_id for r in found if r.kept)
 
 
