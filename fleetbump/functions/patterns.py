@@ -18,14 +18,6 @@ def quote_replacement(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
-def quote_pattern_column(text: Column) -> Column:
-    return F.regexp_replace(text, r"([^\w\s])", r"\\\\$1")
-
-
-def quote_replacement_column(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\$])", r"\\\\$1")
-
-
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body reads it."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))

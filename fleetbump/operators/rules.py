@@ -183,7 +183,8 @@ def search_terms(migrations: DataFrame) -> DataFrame:
         F.struct(
             "ord",
             "rule_ord",
-            F.when(F.col("t.slot") >= 3, F.lit(1_000_000)).otherwise(F.col("node_ord")).alias("node_ord"),
+            (F.col("t.slot") >= 3).alias("of_action"),
+            F.when(F.col("t.slot") < 3, F.col("node_ord")).alias("node_ord"),
             F.col("t.slot").alias("slot"),
         ).alias("place"),
     )
@@ -194,28 +195,18 @@ def search_terms(migrations: DataFrame) -> DataFrame:
     )
 
 
-def terms_of(rules: list[dict]) -> list[str]:
-    """The same terms for rules at hand on the driver, nested at any depth, in first-seen order."""
+def terms_in_rules(documents: DataFrame) -> DataFrame:
+    """Distinct useful terms of rule documents (``ord``, ``json`` text) with their first place: all keys, at any depth.
 
-    def useful(text) -> bool:
-        return (
-            isinstance(text, str)
-            and 3 <= len(text) <= 200
-            and not any(ch.isspace() for ch in text)
-            and any(ch.isalpha() for ch in text)
-        )
-
-    def candidates(item):
-        if isinstance(item, list):
-            for part in item:
-                yield from candidates(part)
-        elif isinstance(item, dict):
-            for key, value in item.items():
-                if key in TERM_KEYS:
-                    yield value
-                yield from candidates(value)
-
-    return list(dict.fromkeys(t for t in candidates(rules) if useful(t)))
+    A key that is followed by a colon cannot stand inside a JSON string, where its quotes are escaped, so the text's
+    own order is the order in which a walk of the document meets the terms.
+    """
+    value = rf'"(?:{"|".join(TERM_KEYS)})"\s*:\s*("(?:[^"\\]|\\.)*+")'
+    found = documents.select("ord", F.posexplode(F.regexp_extract_all("json", F.lit(value), 1)).alias("pos", "quoted"))
+    # The quoted value is a JSON string; as the only member of a list it is decoded by the JSON reader.
+    term = F.from_json(F.concat(F.lit("["), "quoted", F.lit("]")), "array<string>")[0]
+    terms = found.select(term.alias("term"), F.struct("ord", "pos").alias("place"))
+    return terms.filter(F.col("term").isNotNull() & is_useful_term(F.col("term"))).groupBy("term").agg(F.min("place").alias("place"))
 
 
 def contains_any(content: Column, terms: list[str]) -> Column:

@@ -7,6 +7,7 @@ import json
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetbump import schemas
 from fleetbump.functions.patterns import decode_base64, strip
@@ -14,14 +15,20 @@ from fleetbump.operators.rules import last_definitions, migrations_table
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    """Rows of JSON lines; a line that does not fit the schema fails the job that reads it."""
+    lines = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    # The reader refuses to give the corrupt column alone, so the message names the first field too.
+    told = F.format_string("not a row of the landed table: %s (%s)", "_corrupt", F.col(lines.columns[0]).cast("string"))
+    fits = F.when(F.col("_corrupt").isNotNull(), F.raise_error(told).cast("boolean")).otherwise(F.lit(True))
+    return lines.filter(fits).drop("_corrupt")
 
 
 def read_repository_keys(spark: SparkSession, path: str) -> DataFrame:
     """Requested repositories: one key per line, comments and blanks dropped, list order in ``ord``."""
     text = spark.read.text(path)
-    # A text row has no position of its own; file and row ids keep the reading order.
-    lines = text.select(strip(F.col("value")).alias("key"), F.monotonically_increasing_id().alias("ord"))
+    # A text row has no position of its own: file, start of its split, and row id within the split keep the order.
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    lines = text.select(strip(F.col("value")).alias("key"), order.alias("ord"))
     return lines.filter((F.length("key") > 0) & ~F.col("key").startswith("#"))
 
 
@@ -84,12 +91,19 @@ def read_migrations(spark: SparkSession, path: str, last_only: bool = True) -> D
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return migrations_table(spark, [])
-    entries = entries_of(spark.read.schema(schemas.CATALOGUE_FILE).option("multiLine", "true").json(path))
+    documents = spark.read.schema(schemas.CATALOGUE_FILE).option("multiLine", "true").json(path)
+    # Rule files are configuration, one row each: they are numbered by name in one task.
+    file = F.row_number().over(Window.orderBy("_metadata.file_path")) - 1
+    entries = entries_of(documents.select("migrations", file.cast("long").alias("file")))
     return last_definitions(entries) if last_only else entries
 
 
 def entries_of(documents: DataFrame) -> DataFrame:
-    return documents.select(F.posexplode("migrations").alias("ord", "m")).select("m.*", "ord")
+    """Entries of catalogue documents in order: by the document's number ``file``, if there is one, then by place."""
+    if "file" not in documents.columns:
+        return documents.select(F.posexplode("migrations").alias("ord", "m")).select("m.*", "ord")
+    placed = documents.select("file", F.posexplode("migrations").alias("place", "m"))
+    return placed.select("m.*", (F.shiftleft("file", 32) + F.col("place")).alias("ord"))
 
 
 def read_migration_list(path: str, missing_ok: bool = True) -> list[dict]:
@@ -100,22 +114,22 @@ def read_migration_list(path: str, missing_ok: bool = True) -> list[dict]:
     """
     spark = SparkSession.active()
     try:
-        text = spark.read.text(path, wholetext=True).first()[0]
+        files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path").orderBy("file_path").collect()
     except AnalysisException as e:
         if not missing_ok or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return []
-    if path.endswith(".json"):
-        data = json.loads(text)
-    else:
+    load = json.loads
+    if not path.endswith(".json"):
         try:
             import yaml
         except ImportError as e:
             raise RuntimeError("reading YAML rule files needs PyYAML; JSON works without it") from e
-        data = yaml.safe_load(text)
+        load = yaml.safe_load
     by_id: dict[str, dict] = {}
-    for entry in (data or {}).get("migrations") or []:
-        by_id[entry.get("id", "")] = entry
+    for file in files:
+        for entry in (load(file.value) or {}).get("migrations") or []:
+            by_id[entry.get("id", "")] = entry
     return list(by_id.values())
 
 

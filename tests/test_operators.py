@@ -9,6 +9,7 @@ from fleetbump import schemas
 from fleetbump.functions.references import Target
 from fleetbump.operators import audit, catalog, publish, ranking, reports, rules, status
 from fleetbump.plans import upgrade
+from fleetbump.sources import landed
 
 REPOS = [
     ("1", "web-api", "group/web-api", None, False, True, False),
@@ -77,8 +78,6 @@ def test_most_recent_branch(spark, repos):
 
 
 def test_rule_catalogue(spark, tmp_path):
-    from fleetbump.sources import landed
-
     entries = [
         {"id": "a", "package_name": "P", "version_conditions": [{"type": "exact", "version": 2}], "rules": []},
         {"id": "b", "package_name": "Q"},
@@ -118,12 +117,44 @@ def test_rule_catalogue(spark, tmp_path):
     assert rules.by_package_and_id(table, "P", "a").count() == 1 and rules.by_id(table, "x").count() == 0
 
 
-def test_search_terms():
+def test_rule_files_of_a_folder_follow_their_names(spark, tmp_path):
+    for name, packages in (("b.json", ["late", "own"]), ("a.json", ["early", "first"])):
+        ids = ["same", packages[1]]
+        entries = [{"id": i, "package_name": p, "rules": []} for i, p in zip(ids, packages)]
+        (tmp_path / name).write_text(json.dumps({"migrations": entries}))
+    table = landed.read_migrations(spark, str(tmp_path))
+    # A later definition takes the place of the first one of its id, as in the list that the driver reads.
+    wanted = [("same", "late"), ("first", "first"), ("own", "own")]
+    assert [(r.id, r.package_name) for r in table.orderBy("ord").collect()] == wanted
+    listed = landed.read_migration_list(str(tmp_path) + "/*.json")
+    assert [(e["id"], e["package_name"]) for e in listed] == wanted
+
+
+def test_landed_rows_keep_order_and_bad_lines_fail(spark, tmp_path):
+    keys = tmp_path / "keys"
+    keys.mkdir()
+    (keys / "1.txt").write_text("z/one\n# no\n\na/two\n")
+    (keys / "2.txt").write_text("k/three\n" * 3)
+    read = landed.read_repository_keys(spark, str(keys)).orderBy("ord")
+    assert [r.key for r in read.collect()] == ["z/one", "a/two", "k/three", "k/three", "k/three"]
+    good, bad = tmp_path / "good.json", tmp_path / "bad.json"
+    good.write_text('{"repo_id": "1", "name": "main", "ord": 0}\n')
+    bad.write_text('{"repo_id": "1", "name": "main", "ord": 0}\n{"repo_id": \n')
+    assert landed.read_branches(spark, str(good)).count() == 1
+    for act in (lambda t: t.collect(), lambda t: t.count()):
+        with pytest.raises(Exception, match="not a row of the landed table"):
+            act(landed.read_branches(spark, str(bad)))
+
+
+def test_search_terms(spark):
     nested = [
         {"name": "ignored name", "target_nodes": [{"method_name": "AddX", "deep": {"old_type": "Foo"}, "identifier": "no"}]},
         {"action": {"replacement_method": "AddY", "argument_name": "ab", "new_namespace": "has blank"}, "containing_type": "AddX"},
     ]
-    assert rules.terms_of(nested) == ["AddX", "Foo", "AddY"]
+    more = [{"method_name": "AddX"}, {"note": 'the "method_name": "Fake" in a text', "type_name": "Caf\u00e9 \\ x"}, {"type_name": "Caf\u00e9"}]
+    texts = [(0, json.dumps(nested)), (1, json.dumps(more)), (2, None), (3, "")]
+    found = rules.terms_in_rules(spark.createDataFrame(texts, "ord long, json string"))
+    assert [r.term for r in found.orderBy("place").collect()] == ["AddX", "Foo", "AddY", "Caf\u00e9"]
 
 
 def test_prefilter_without_terms_keeps_all(spark):
