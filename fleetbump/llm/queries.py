@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetbump.llm import (
+    alignment,
+    byte_bpe,
     decontaminate,
     exact_dedup,
     hmm,
@@ -16,6 +18,7 @@ from fleetbump.llm import (
     perplexity,
     toxicity,
     url_filter,
+    whitening,
 )
 
 QUERIES = {}
@@ -101,3 +104,27 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan", license_scan.scan_sql())
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    vocabulary = byte_bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("eigenvalue")
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = alignment.Tokenizers.read(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return alignment.alignments(table(spark, sf_dir, "documents"), files)
