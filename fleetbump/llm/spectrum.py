@@ -133,6 +133,8 @@ class Slicer:
 
 def leading(a: np.ndarray, count: int) -> list[Pair]:
     """The ``count`` largest eigenpairs of a covariance, fewer where it has less rank than that."""
+    if not a.any():
+        return []
     slicer, found = Slicer(a), []
     for number in range(1, min(count, len(a)) + 1):
         one = slicer.pair(number, found)
