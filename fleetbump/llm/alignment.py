@@ -4,6 +4,10 @@ A is a byte-level BPE file of the ``tokenizers`` library and encodes a space and
 adds that space itself. Both give the same bytes, so byte offsets where tokens of both end cut them into groups, and all
 A-B pairs of a group are its links.
 
+Neither tokenizer makes a token over the border of a character that is no white space and a space that such a one follows,
+so texts are cut there, and each distinct stretch of a batch is encoded once. (For A that is its pre-tokenizer's pattern;
+for B no piece has U+2581 after another character. Where a file is not so, texts are encoded uncut.)
+
 Alignment of a batch goes in lockstep: a state vector holds a pointer into A's and one into B's tokens for every document.
 Each step compares the ends of the tokens pointed at, moves the pointer behind (both where they end together, which is a
 cut) and emits the groups and links that were cut; documents that are through leave the vectors. A long document goes as
@@ -24,8 +28,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,10 @@ from fleetbump.llm.words import chunks
 LANE = 256
 WIDE = 1 << 16
 TABLE = 500_000
+# Stretches whose ids a task keeps for its next batches, and their characters together.
+KEPT = 400_000
+KEPT_CHARS = 1 << 25
+BORDER = re.compile(r"(?<=\S) (?=\S)")
 # An id pair is one number: A's id times PAIR plus B's id.
 PAIR = 1 << 20
 
@@ -77,7 +87,8 @@ class Encoders:
         self.a = Tokenizer.from_str(files.a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=files.b)
-        entries = json.loads(files.a)["model"]["vocab"]
+        given = json.loads(files.a)
+        entries = given["model"]["vocab"]
         of = byte_level()
         strings = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
@@ -86,6 +97,16 @@ class Encoders:
         self.b_runs = Runs([self._piece(i) for i in range(self.b.get_piece_size())])
         self.a_numbers = decimals(len(strings), ",")
         self.b_numbers = decimals(self.b.get_piece_size(), ",")
+        cutter = given["pre_tokenizer"] or {}
+        plain = given["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex")
+        crossing = any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        self.cuts = plain and not crossing
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chars = 0
+        self.kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2  # ids of all stretches, and how many each has
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -94,14 +115,33 @@ class Encoders:
     @staticmethod
     def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         first = offsets(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))
-        ids = np.fromiter((i for one in lists for i in one), dtype=np.int64, count=int(first[-1]))
-        return ids, first
+        return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(first[-1])), first
+
+    def _stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the stretches of all texts, first of each text); new ones are encoded."""
+        if len(self.number) > KEPT or self.chars > KEPT_CHARS:
+            self._forget()
+        cut = [(BORDER.split(t) if self.cuts else [t]) if t else [] for t in texts]
+        new = [x for x in dict.fromkeys(chain.from_iterable(cut)) if x not in self.number]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + x for x in new], add_special_tokens=False)]
+        b = self.b.encode(new, num_threads=1)
+        for i, lists in enumerate((a, b)):
+            ids, first = self._flat(lists)
+            self.kept[i] = tuple(np.concatenate(x) for x in zip(self.kept[i], (ids, np.diff(first))))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.chars += sum(map(len, new))
+        first = offsets(np.fromiter(map(len, cut), dtype=np.int64, count=len(cut)))
+        of = self.number.__getitem__
+        return np.fromiter(map(of, chain.from_iterable(cut)), dtype=np.int64, count=int(first[-1])), first
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A ids, first of each text, B ids, first of each text); a text that cannot be aligned has none."""
         spaced = [" " + t for t in texts]
-        a, a_first = self._flat([e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)])
-        b, b_first = self._flat(self.b.encode(texts, num_threads=1))
+        numbers, cut_first = self._stretches(texts)
+        (a, a_first), (b, b_first) = (
+            (gather(ids, offsets(sizes)[numbers], sizes[numbers]), offsets(sizes[numbers])[cut_first])
+            for ids, sizes in self.kept
+        )
         raw = [s.encode() for s in spaced]
         whole = np.frombuffer(b"".join(raw), dtype=np.uint8)
         ends = offsets(np.array([len(r) for r in raw], dtype=np.int64))
