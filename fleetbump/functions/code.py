@@ -291,7 +291,8 @@ _MODS = rf"(?:{_words(_MODIFIERS)}\s++)"
 _PARAMS = r"[^()]*+(?:\([^()]*+\)[^()]*+)*+"
 _NOT_TYPES = [*_BEFORE_CALL, *_MODIFIERS, *_NOT_CALLS, "class", "struct", "interface", "record", "enum", "event", "namespace"]
 
-TYPE_HEADER = rf"({_ATTRIBUTES}{_MODS}*+(?<!{_W})(?:class|struct|interface|record|enum){_END}\s++{ID})"
+# A record is no class here, also where its header says "record class".
+CLASS_HEADER = rf"({_ATTRIBUTES}{_MODS}*+(?<!{_W})(?<!record\s{{1,9}})class{_END}\s++{ID})"
 METHOD = (
     rf"(?<![\p{{L}}\p{{Nd}}_.])({_ATTRIBUTES})({_MODS}*+)(?!{_words(_NOT_TYPES)})({_TYPE})\s++(?!{_words(_NOT_CALLS)})({ID})"
     rf"\s*+(?:{GENERIC})?+\s*+\(({_PARAMS})\)\s*+(\{{|=>|;|where{_END})"
@@ -303,9 +304,48 @@ FIELD = (
 )
 
 
-def type_pieces(content: Column) -> Column:
-    """Code cut before each type declaration; members in a piece belong to the type that opens it."""
-    return F.split(F.regexp_replace(code_only(content), TYPE_HEADER, f"{OPEN}$1"), OPEN)
+# Braces that are matched and hold no class: they are put aside while the braces around them are matched.
+_INNER_OPEN, _INNER_CLOSE = CLOSE, TRIM
+_CLASS_REST = rf"(?:[^{{}};(){OPEN}]++|\((?:[^(){{}};{OPEN}]++|\([^(){{}};{OPEN}]*+\))*+\))*+"
+_WHOLE_CLASS = rf"{OPEN}{_CLASS_REST}(?:\{{[^{{}}]*+\}}|;)"
+
+
+def class_pieces(content: Column) -> Column:
+    """Code by innermost enclosing class: one text for each class, from its header on, and one for what is in none.
+
+    Braces are matched from the inside: each pass takes the pairs that hold no other brace. A class whose body is such
+    a pair leaves the text as a piece of its own, so what is left of an outer class are its own members; other pairs
+    (method bodies, structs, namespaces) are put aside where they stand. There are as many passes as braces are deep. What
+    stands between braces that do not match goes with the class header before it.
+    """
+    code = F.translate(code_only(content), OPEN + CLOSE + TRIM, "   ")
+    marked = F.replace(F.regexp_replace(code, CLASS_HEADER, f"{OPEN}$1"), F.lit("{}"), F.lit("{ }"))
+
+    def step(state: Column, _: Column) -> Column:
+        # A class is put back as it stands; the marks of an empty pair next to it go.
+        inner = F.regexp_replace(state["text"], rf"({_WHOLE_CLASS})|\{{([^{{}}]*+)\}}", f"$1{_INNER_OPEN}$2{_INNER_CLOSE}")
+        inner = F.replace(inner, F.lit(_INNER_OPEN + _INNER_CLOSE), F.lit(""))
+        done = let(
+            inner,
+            lambda t: F.struct(
+                F.regexp_replace(t, _WHOLE_CLASS, " ; ").alias("text"),
+                F.concat(state["pieces"], F.regexp_extract_all(t, F.lit(f"({_WHOLE_CLASS})"), F.lit(1))).alias("pieces"),
+                (t.rlike(_WHOLE_CLASS) | (t != state["text"])).alias("changed"),
+            ),
+        )
+        return F.when(state["changed"], done).otherwise(state)
+
+    start = F.struct(
+        marked.alias("text"), F.array().cast("array<string>").alias("pieces"), F.lit(True).alias("changed")
+    )
+    most = F.length(marked) - F.length(F.translate(marked, "{;", ""))
+    pieces = F.aggregate(
+        F.sequence(F.lit(0), most),
+        start,
+        step,
+        lambda state: F.concat(state["pieces"], F.split(F.concat(F.lit(" "), state["text"]), rf"(?={OPEN})")),
+    )
+    return F.transform(pieces, lambda t: F.translate(t, OPEN + _INNER_OPEN + _INNER_CLOSE, " {}"))
 
 
 def attribute_names(text: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetbump.functions import code
+from fleetbump.functions.lines import changes
 from fleetbump.functions.patterns import let, newline_of, normalize_newlines
 from fleetbump.operators.rules import contains_any
 from fleetbump.session import small
@@ -91,11 +96,12 @@ def declaration_inventory(files: DataFrame) -> DataFrame:
     """Classes, methods, fields and parameters as one table.
 
     (repo_id, path, containing_class, kind, name, type, attributes, parameters). The containing class is
-    the one whose header comes last before the member. One scan, one stage.
+    the innermost class around the member; a struct, interface or record around it is passed over. A class
+    contains itself. One scan, one stage.
     """
-    pieces = files.select("repo_id", "path", F.explode(code.type_pieces(F.col("content"))).alias("text"))
-    header = F.regexp_extract("text", f"^{code.TYPE_HEADER}", 1)
-    owner = F.when(header.rlike(rf"(?<!{code.WORD})class\s+{code.ID}$"), F.regexp_extract(header, rf"({code.ID})$", 1))
+    pieces = files.select("repo_id", "path", F.explode(code.class_pieces(F.col("content"))).alias("text"))
+    header = F.regexp_extract("text", rf"^\s*+{code.CLASS_HEADER}", 1)
+    owner = F.when(header != "", F.regexp_extract(header, rf"({code.ID})$", 1))
     own = _declaration(
         "class",
         owner,
@@ -331,11 +337,15 @@ def files_to_review(files: DataFrame, rules: list[dict]) -> DataFrame:
     return _candidates(files, steps).select("repo_id", "path", F.explode(methods).alias("method"))
 
 
+_LINE = re.compile(r"\r?\n")
+_CHANGE = ["repo_id", "path", "line", "rule", "original", "replacement"]
+
+
 def preview_changes(files: DataFrame, rules: list[dict]) -> DataFrame:
     """Line changes per file and rule: (repo_id, path, line, rule, original, replacement).
 
-    Where a rule keeps the number of lines, lines are compared one by one; otherwise lines that are
-    gone have no replacement and new ones no original.
+    The versions before and after each rule are aligned by lines (``functions.lines``), inside the task that
+    rewrites them; only files that a rule changes leave the JVM.
     """
     steps = _call_steps(rules)
     if not steps:
@@ -347,11 +357,7 @@ def preview_changes(files: DataFrame, rules: list[dict]) -> DataFrame:
         pairs = [
             F.when(
                 states[i] != states[i + 1],
-                F.struct(
-                    F.lit(name).alias("rule"),
-                    F.split(code.unmark(states[i]), r"\r?\n").alias("b"),
-                    F.split(code.unmark(states[i + 1]), r"\r?\n").alias("a"),
-                ),
+                F.struct(F.lit(name).alias("rule"), code.unmark(states[i]).alias("b"), code.unmark(states[i + 1]).alias("a")),
             )
             for i, (_, name, _, _) in enumerate(steps)
         ]
@@ -363,30 +369,20 @@ def preview_changes(files: DataFrame, rules: list[dict]) -> DataFrame:
         .select("repo_id", "path", "p.*")
     )
 
-    def row(i: Column, original: Column, replacement: Column) -> Column:
-        return F.struct(
-            (i + 1).cast("bigint").alias("line"), original.alias("original"), replacement.alias("replacement")
-        )
-
-    b, a = F.col("b"), F.col("a")
-    none = F.lit("")
-    one_by_one = F.filter(
-        F.transform(b, lambda x, i: row(i, x, F.get(a, i))), lambda r: r["original"] != r["replacement"]
-    )
-
-    def one_sided(lines: Column, others: Column, make) -> Column:
-        return let(
-            F.array_except(lines, others),
-            lambda only: F.array_compact(
-                F.transform(lines, lambda x, i: F.when(F.array_contains(only, x), make(i, x)))
-            ),
-        )
-
-    lost = one_sided(b, a, lambda i, x: row(i, x, none))
-    won = one_sided(a, b, lambda i, x: row(i, none, x))
-    changes = F.when(F.size(b) == F.size(a), one_by_one).otherwise(F.concat(lost, won))
-    return each.select("repo_id", "path", "rule", F.explode(changes).alias("c")).select(
-        "repo_id", "path", "c.line", "rule", "c.original", "c.replacement"
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file at a time: its lines and changes are all that is held
+                repo_id, path, rule, b, a = (column[i] for column in batch.columns)
+                found = changes(_LINE.split(b.as_py()), _LINE.split(a.as_py()))
+                if found:
+                    same = [pa.array([v.as_py()] * len(found), v.type) for v in (repo_id, path, rule)]
+                    line, original, replacement = map(list, zip(*found))
+                    columns = [same[0], same[1], pa.array(line, pa.int64()), same[2], pa.array(original), pa.array(replacement)]
+                    yield pa.RecordBatch.from_arrays(columns, _CHANGE)
+
+    kind = files.schema["repo_id"].dataType.simpleString()
+    return each.mapInArrow(
+        compared, f"repo_id {kind}, path string, line long, rule string, original string, replacement string"
     )
 
 

@@ -90,14 +90,18 @@ def _sql_text(template: str) -> str:
     return f"CASE WHEN doc_id % 5 = 0 THEN replace({content}, chr(10), chr(13) || chr(10)) ELSE {content} END"
 
 
-def code_files(spark, sf):
-    return spread(s.table(spark, sf, "documents"), "doc_id").select(
+def _files_of(documents, template):
+    return documents.select(
         (F.col("doc_id") % 97).cast("string").alias("repo_id"),
         F.concat(F.lit("src/D"), s.text("doc_id"), F.lit(".cs")).alias("path"),
-        _spark_text(BEFORE).alias("content"),
+        _spark_text(template).alias("content"),
     )
 
 
+def code_files(spark, sf):
+    return _files_of(spread(s.table(spark, sf, "documents"), "doc_id"), BEFORE)
+
+
 _PATH = "'src/D' || doc_id || '.cs'"
 # Lines the document's own text adds above everything that follows it.
 _BREAKS = "length(text) - length(replace(text, chr(10), ''))"
@@ -325,6 +329,105 @@ def previewed_changes(spark, sf):
     return corpus.preview_changes(code_files(spark, sf), [RENAME, REMOVE]).drop("repo_id")
 
 
+# Types inside, beside and after each other; {text} stands inside the innermost but one.
+NESTED = """using System;
+namespace N{id}
+{
+    public class Outer{id}
+    {
+        struct Pair { public int Left{n}; }
+        [Serializable]
+        class Inner{lang}
+        {
+            /* {text} */
+            private int _deep = Make(new T { X = {n} });
+            void Run(int times) { if (times > 0) { Go(); } }
+            class Core { void Turn(bool on) { } }
+            void Late() { }
+        }
+        private IClock _clock;
+        void After(int q) { }
+    }
+    class Sibling { int Plain(int a) => a; }
+    struct Alone { public int Z; void Free() { } }
+}
+"""
+
+s.SQL["nested_rows"] = f"""
+SELECT {_PATH} AS path, lang, d.kind, replace(replace(replace(d.name, '@id', CAST(doc_id AS VARCHAR)), '@lang', lang), '@n',
+       CAST(n_chars AS VARCHAR)) AS name, d.type,
+       replace(replace(d.owner, '@id', CAST(doc_id AS VARCHAR)), '@lang', lang) AS containing_class
+FROM documents JOIN (VALUES
+  ('class', 'Outer@id', NULL, 'Outer@id'), ('class', 'Inner@lang', NULL, 'Inner@lang'), ('class', 'Core', NULL, 'Core'),
+  ('class', 'Sibling', NULL, 'Sibling'), ('field', 'Left@n', 'int', 'Outer@id'), ('field', '_deep', 'int', 'Inner@lang'),
+  ('method', 'Run', 'void', 'Inner@lang'), ('parameter', 'times', 'int', 'Inner@lang'), ('method', 'Turn', 'void', 'Core'),
+  ('parameter', 'on', 'bool', 'Core'), ('method', 'Late', 'void', 'Inner@lang'), ('field', '_clock', 'IClock', 'Outer@id'),
+  ('method', 'After', 'void', 'Outer@id'), ('parameter', 'q', 'int', 'Outer@id'), ('method', 'Plain', 'int', 'Sibling'),
+  ('parameter', 'a', 'int', 'Sibling'), ('field', 'Z', 'int', NULL), ('method', 'Free', 'void', NULL))
+  AS d(kind, name, type, owner) ON true"""
+
+
+def _nested(spark, sf):
+    return corpus.declaration_inventory(_files_of(s.table(spark, sf, "documents"), NESTED))
+
+
+@query("nested_declarations", "SELECT path, kind, name, type, containing_class FROM nested_rows")
+def nested_declarations(spark, sf):
+    return _nested(spark, sf).select("path", "kind", "name", "type", "containing_class")
+
+
+@query(
+    "nested_rule_hits",
+    """SELECT path, kind, name, 'in core' AS rule_name FROM nested_rows WHERE kind = 'method' AND containing_class = 'Core'
+       UNION ALL SELECT path, kind, name, 'late' FROM nested_rows WHERE name = 'Late' AND lang = 'en'
+       UNION ALL SELECT path, kind, name, 'sibling method' FROM nested_rows WHERE kind = 'method' AND containing_class = 'Sibling'""",
+)
+def nested_rule_hits(spark, sf):
+    nodes = _nodes(
+        spark,
+        ("in core", {"type": "MethodDeclaration", "containing_type": "CORE"}),
+        ("late", {"type": "MethodDeclaration", "method_name": "late", "containing_type": "InnerEn"}),
+        ("sibling method", {"type": "MethodDeclaration", "containing_type": "Sibling"}),
+        ("clock in core", {"type": "FieldDeclaration", "identifier": "_clock", "containing_type": "Core"}),
+        ("method of a struct", {"type": "MethodDeclaration", "method_name": "Free", "containing_type": "Alone"}),
+        ("field of a struct", {"type": "FieldDeclaration", "containing_type": "Pair"}),
+    )
+    return corpus.rule_hits(_nested(spark, sf), nodes, declarations=True).select("path", "kind", "name", "rule_name")
+
+
+# The same lines before and after what a rule removes.
+REPEATED = """class C{id}
+{
+    void M()
+    {
+        // setup {lang}
+        Begin();
+        // setup {lang}
+        OldCall();
+        /* {text} */
+        // setup {lang}
+        Begin();
+        x.OldCall({n});
+        Begin();
+        // {lang}
+        // setup {lang}
+    }
+}
+"""
+
+
+@query(
+    "previewed_repeated_lines",
+    f"""SELECT {_PATH} AS path, CAST(v.line + CASE WHEN v.line > 9 THEN {_BREAKS} ELSE 0 END AS BIGINT) AS line, 'Remove OldCall' AS rule,
+               replace(replace(v.original, '@n', CAST(n_chars AS VARCHAR)), '@lang', lang) AS original, '' AS replacement
+        FROM documents JOIN (VALUES (7, '        // setup @lang'), (8, '        OldCall();'), (12, '        x.OldCall(@n);')) AS v(line, original)
+        ON true""",
+)
+def previewed_repeated_lines(spark, sf):
+    files = _files_of(s.table(spark, sf, "documents"), REPEATED)
+    return corpus.preview_changes(files, [REMOVE]).drop("repo_id")
+
+
 @query(
     "requested_files_existing",
     f"SELECT {_PATH} AS path, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",

@@ -213,6 +213,55 @@ def test_declarations(spark):
     }
 
 
+def owners(spark, text):
+    df = spark.createDataFrame([("r", "a.cs", text)], "repo_id string, path string, content string")
+    rows = corpus.declaration_inventory(df).collect()
+    return {(r.kind, r.name): r.containing_class for r in rows}, len(rows)
+
+
+def test_members_belong_to_the_innermost_class(spark):
+    text = "class Outer { class Inner { int a; void In(int p) { if (p > 0) { } } } private int _c; void After(int q) { Go(new T { X = 1 }); } }"
+    found, rows = owners(spark, text.replace("int a;", "private int a;"))
+    assert found == {
+        ("class", "Outer"): "Outer", ("class", "Inner"): "Inner", ("field", "a"): "Inner", ("method", "In"): "Inner",
+        ("parameter", "p"): "Inner", ("field", "_c"): "Outer", ("method", "After"): "Outer", ("parameter", "q"): "Outer",
+    }
+    assert rows == 8
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("class A { struct P { public int X; } public int Y; }", {"A": "A", "X": "A", "Y": "A"}),
+        ("struct P { public int X; class A { public int Y; } public int Z; }", {"A": "A", "X": None, "Y": "A", "Z": None}),
+        ("class A { public int X; } class B { public int Y; } struct C { public int Z; }", {"A": "A", "B": "B", "X": "A", "Y": "B", "Z": None}),
+        ("class A; class B : A { public int Y; }", {"A": "A", "B": "B", "Y": "B"}),
+        ("record R { public int X; } record class S { public int Y; } class T { public int Z; }", {"T": "T", "X": None, "Y": None, "Z": "T"}),
+        ("class A<T> : B<T>, I where T : class, new() { public int X; class C { } }", {"A": "A", "C": "C", "X": "A"}),
+        ("class A(int n) : B(new P { X = n }) { public int Y; }", {"A": "A", "Y": "A"}),
+        ("class A { class B { class C { class D { public int X; } public int Y; } } public int Z; }",
+         {"A": "A", "B": "B", "C": "C", "D": "D", "X": "D", "Y": "C", "Z": "A"}),
+        ("class A { string s = \"} class Q {\"; /* } */ public int X; // }\n public int Y; }", {"A": "A", "X": "A", "Y": "A"}),
+        ("class A { public int X; void M() { class B { public int Y; }", {"A": "A", "M": "A", "X": "A", "B": "B", "Y": "B"}),
+        ("} } class A { public int X; } }", {"A": "A", "X": "A"}),
+        ("", {}),
+        ("class A {} class B{public int X;}", {"A": "A", "B": "B", "X": "B"}),
+    ],
+)
+def test_enclosing_class(spark, text, expected):
+    found, _ = owners(spark, text)
+    assert {k[1]: v for k, v in found.items()} == expected
+
+
+def test_many_braces(spark):
+    flat = "class A { " + "".join(f"public int F{i}; void M{i}() {{ if (x) {{ }} }} " for i in range(4000)) + "}"
+    found, rows = owners(spark, flat)
+    assert rows == 8001 and set(found.values()) == {"A"}
+    deep = "".join(f"class C{i} {{ public int F{i}; " for i in range(200)) + "}" * 200
+    found, rows = owners(spark, deep)
+    assert rows == 400 and all(found["field", f"F{i}"] == f"C{i}" for i in range(200))
+
+
 def test_call_inventory_lines(spark):
     text = 'class T {\n  void M() {\n    a.b.C(1)\n     .D("(");\n    if (x) E(F(2));\n  }\n}\n'
     df = spark.createDataFrame([("r", "a.cs", text)], "repo_id string, path string, content string")
@@ -261,3 +310,18 @@ def test_files_with_mark_characters_are_rewritten_and_keep_them(spark):
     text = "class C {\n    string a = \"\u0001\u0002\u0003\";\n    void M() {\n        Go();\n        s.Old();\n    }\n}\n"
     row = apply(spark, text, rule("remove_invocation", "Old"))
     assert row.content == text.replace("        s.Old();\n", "")
+
+
+def test_preview_finds_lost_lines_that_stand_elsewhere_too(spark):
+    text = "class C {\n    void M() {\n        Go();\n        // setup\n        s.Old();\n        Go();\n        // setup\n        Go();\n    }\n}\n"
+    df = spark.createDataFrame([(7, "a.cs", text), (8, "b.cs", text.replace("Old", "New"))], "repo_id bigint, path string, content string")
+    rows = corpus.preview_changes(df, [rule("remove_invocation", "Old")]).collect()
+    assert sorted(tuple(r) for r in rows) == [(7, "a.cs", 4, "r", "        // setup", ""), (7, "a.cs", 5, "r", "        s.Old();", "")]
+    both = [rule("replace_invocation", "Old", "one", replacement_method="Next"), rule("remove_invocation", "Next", "two")]
+    rows = corpus.preview_changes(df, both).collect()
+    assert sorted((r.line, r.rule, r.original, r.replacement) for r in rows) == [
+        (4, "two", "        // setup", ""),
+        (5, "one", "        s.Old();", "        s.Next();"),
+        (5, "two", "        s.Next();", ""),
+    ]
+    assert corpus.preview_changes(df, []).count() == 0
