@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -81,9 +81,10 @@ def advance(spark: SparkSession, batch: DataFrame, folder: str, n: int, compact_
     later = F.struct("_new.seen_at", "_new.ord") > F.struct("_old.seen_at", "_old.ord")
     takes = F.col("_new").isNotNull() & (F.col("_old").isNull() | later)
     kept = merged.withColumn("_now", F.when(takes, F.col("_new")).otherwise(F.col("_old")))
-    kept.select("repository_id", "iid", "_now.*", F.coalesce("_old.state", F.lit("unknown")).alias("old_status")).write.mode(
-        "overwrite"
-    ).parquet(f"{folder}/batch={n}")
+    old_status = F.coalesce("_old.state", F.lit("unknown"))
+    kept.select(
+        "repository_id", "iid", "_now.*", old_status.alias("old_status"), F.col("_new").isNotNull().alias("touched")
+    ).write.mode("overwrite").parquet(f"{folder}/batch={n}")
 
 
 def transitions(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,6 +94,29 @@ def transitions(spark: SparkSession, folder: str) -> DataFrame:
     return log.filter(F.col("old_status") != new).select("batch", "repository_id", "iid", "old_status", new.alias("new_status"))
 
 
+def transition_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """What each batch did: (batch, requests, updated, errors, opened, merged, closed).
+
+    ``requests`` had news, ``updated`` changed their status, ``errors`` had no status in their newest news. The last three
+    count all requests known after the batch; they are running sums over one row per batch.
+    """
+    log = spark.read.schema(STATE + ", touched boolean, batch int").parquet(folder)
+    new = F.coalesce("state", F.lit("unknown"))
+
+    def net(status: str) -> Column:
+        return F.count_if(new == status) - F.count_if(F.col("old_status") == status)
+
+    statuses = ("opened", "merged", "closed")
+    each = log.filter("touched").groupBy("batch").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(F.col("old_status") != new).alias("updated"),
+        F.count_if(F.col("state").isNull()).alias("errors"),
+        *[net(status).alias(status) for status in statuses],
+    )
+    so_far = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    return each.withColumns({status: F.sum(status).over(so_far) for status in statuses})
+
+
 def current_states(spark: SparkSession, folder: str, last_batch: int, compact_every: int = 20) -> DataFrame:
     rows = _newest(_batches(spark, folder, last_batch + 1, compact_every))
     return rows.select("repository_id", "iid", "_row.*")
