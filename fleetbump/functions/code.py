@@ -74,19 +74,31 @@ ARGUMENTS = _parens(3)
 _TAIL = rf"\s*+(?:{GENERIC})?+\s*+{ARGUMENTS}"
 
 
-# What a mark that stands in a file is read as meanwhile: code points that Unicode keeps out of text.
-_HELD = "\ufdd0\ufdd1\ufdd2"
+# What a mark that stands in a file is read as meanwhile, and the sign that leads these pairs: code points that Unicode
+# keeps out of text. The sign itself becomes a pair too, so every pair can be read back.
+_SIGN = "\ufdd0"
+_HELD = {OPEN: _SIGN + "\ufdd1", CLOSE: _SIGN + "\ufdd2", TRIM: _SIGN + "\ufdd3"}
+_SIGN_HELD = _SIGN + "\ufdd4"
+
+
+def _hold(content: Column) -> Column:
+    held = F.replace(content, F.lit(_SIGN), F.lit(_SIGN_HELD))
+    for mark, pair in _HELD.items():
+        held = F.replace(held, F.lit(mark), F.lit(pair))
+    return held
 
 
 def mark_calls(content: Column) -> Column:
     """Put marks around every name that is called; marks of the file itself are held aside until ``unmark``."""
-    plain = F.translate(content, OPEN + CLOSE + TRIM, _HELD)
-    marked = F.regexp_replace(plain, f"({_SKIPPED})|{_HEAD}", f"$1{OPEN}$2{CLOSE}")
+    marked = F.regexp_replace(_hold(content), f"({_SKIPPED})|{_HEAD}", f"$1{OPEN}$2{CLOSE}")
     return F.replace(marked, F.lit(OPEN + CLOSE), F.lit(""))
 
 
 def unmark(marked: Column) -> Column:
-    return F.translate(F.translate(marked, OPEN + CLOSE, ""), _HELD, OPEN + CLOSE + TRIM)
+    plain = F.translate(marked, OPEN + CLOSE, "")
+    for mark, pair in _HELD.items():
+        plain = F.replace(plain, F.lit(pair), F.lit(mark))
+    return F.replace(plain, F.lit(_SIGN_HELD), F.lit(_SIGN))
 
 
 def _until_stable(text: Column, step, most: Column) -> Column:
@@ -138,9 +150,7 @@ def call_fields(call: Column) -> list[Column]:
     after_call = before.rlike(r"^[)\]>\"}]")
     followed = call["text"].rlike(r"[)]\s*\??\.$")
     receiver = F.regexp_replace(F.regexp_replace(before, r"^[)\]>\"}]\s*+\??\.\s*+", ""), r"\s*\??\.\s*$", "")
-    arguments = F.translate(
-        F.regexp_extract(call["text"], rf"^[^{CLOSE}]*+{CLOSE}\s*+(?:{GENERIC})?+\s*+({ARGUMENTS})", 1), OPEN + CLOSE, ""
-    )
+    arguments = unmark(F.regexp_extract(call["text"], rf"^[^{CLOSE}]*+{CLOSE}\s*+(?:{GENERIC})?+\s*+({ARGUMENTS})", 1))
     return [
         call["line"].cast("bigint").alias("line"),
         receiver.alias("receiver"),

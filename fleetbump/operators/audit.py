@@ -38,13 +38,23 @@ def request_rates(
     by_time = Window.partitionBy("key", "_at").orderBy("_us")
     by_row = Window.partitionBy("key", "_at").orderBy("_us", "request_id")
     expired = F.count(F.lit(1)).over(by_time.rangeBetween(Window.unboundedPreceding, -WINDOW_US))
-    oldest = F.min("_us").over(by_time.rangeBetween(-(WINDOW_US - 1), 0))
-    measured = (
-        shown.withColumn("_seen", F.row_number().over(by_row) - 1)
+    numbered = (
+        shown.withColumn("_number", F.row_number().over(by_row))
         .withColumn("_expired", F.coalesce(expired, F.lit(0)))
-        .withColumn("_oldest", oldest)
         .withColumn("_previous", F.lag("_us").over(by_row))
-        .filter(F.col("_at") == F.col("_bucket"))
+    )
+    # The oldest request still in the minute is the one after those that have left it. Every request also asks at
+    # that place; times do not fall along the places, so a running maximum answers. Cost is that of two more rows,
+    # however many requests a minute holds, and the rows stay where the first windows left them.
+    place = F.struct(F.col("_number").alias("at"), F.col("_us").alias("us"))
+    asked = F.struct((F.col("_expired") + 1).alias("at"), F.lit(None).cast("long").alias("us"))
+    own = F.col("_at") == F.col("_bucket")
+    both = numbered.withColumn("_p", F.explode(F.when(own, F.array(place, asked)).otherwise(F.array(place))))
+    running = Window.partitionBy("key", "_at").orderBy("_p.at", F.col("_p.us").isNull())
+    measured = (
+        both.withColumn("_oldest", F.max("_p.us").over(running.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter(F.col("_p.us").isNull())
+        .withColumn("_seen", F.col("_number") - 1)
     )
     # Joined on the columns the windows are partitioned by, so the requests are not shuffled again.
     carried = measured.join(_last_before(rows).withColumnRenamed("_bucket", "_at"), ["key", "_at"])

@@ -13,7 +13,7 @@ from fleetbump.functions.naming import (
     request_title,
 )
 from fleetbump.functions.references import UPDATED, Target, mentions_any, rewrite_references
-from fleetbump.operators.ranking import CHUNK_ROWS, number_rows
+from fleetbump.operators.ranking import number_rows, range_chunks
 
 
 def rewrite_project_files(files: DataFrame, targets: list[Target], allow_downgrade: bool = False) -> DataFrame:
@@ -58,17 +58,17 @@ def requested_but_failed(requested: DataFrame, succeeded: DataFrame) -> DataFram
     return requested.join(succeeded.select("repo_id"), "repo_id", "left_anti")
 
 
-def undo_plan(actions: DataFrame, succeeded: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def undo_plan(actions: DataFrame, succeeded: DataFrame) -> DataFrame:
     """Registered actions of unsuccessful transactions, last registered first."""
     open_ones = actions.join(succeeded.select("txn_id"), "txn_id", "left_anti")
     return number_rows(
-        open_ones,
+        range_chunks(open_ones, ["txn_id"], ["seq"], like=actions),
         ["txn_id"],
         [F.col("seq").desc()],
-        F.floor(F.col("seq") / chunk_rows),
+        F.col("_range"),
         "undo_order",
         chunk_descending=True,
-    )
+    ).drop("_range")
 
 
 def undo_outcomes(executed: DataFrame) -> DataFrame:

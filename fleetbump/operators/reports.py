@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetbump.functions.patterns import status_bucket
+from fleetbump.operators.ranking import number_rows, range_chunks
 from fleetbump.operators.status import bucket_rank, status_counters
 
 LINE_ORDER = ["section", "key", "seq", "pos"]
@@ -264,16 +265,9 @@ def status_report(tracked: DataFrame, meta: DataFrame, generated: str, errors: i
 def numbered_changes(changes: DataFrame) -> DataFrame:
     """Changes numbered from 1 per (repository, package) in (file, line) order.
 
-    Numbers come from per-file counts plus a running start, so one huge repository is spread over its files.
+    Numbers come from counts of sampled ranges plus a running start, so one huge repository, or file, is spread.
     """
+    order = ["file", "line", "rule"]
     keys = ["repo_id", "package"]
-    in_file = Window.partitionBy(*keys, "file").orderBy("line", "rule")
-    sizes = changes.groupBy(*keys, "file").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (
-        changes.withColumn("_i", F.row_number().over(in_file))
-        .join(starts, [*keys, "file"])
-        .withColumn("change_no", F.col("_start") + F.col("_i"))
-        .drop("_start", "_i")
-    )
+    chunked = range_chunks(changes, keys, order)
+    return number_rows(chunked, keys, [F.col(c) for c in order], F.col("_range"), "change_no").drop("_range")

@@ -274,6 +274,12 @@ def test_call_inventory_lines(spark):
     ]
 
 
+def test_call_arguments_keep_mark_characters(spark):
+    text = 'x.Go("\u0001\u0002\u0003\ufdd0\ufdd1", F(1));'
+    df = spark.createDataFrame([("r", "a.cs", text)], "repo_id string, path string, content string")
+    assert [r.arguments for r in corpus.call_inventory(df).collect()] == ['"\u0001\u0002\u0003\ufdd0\ufdd1", F(1)', "1"]
+
+
 def test_long_file_does_not_overflow(spark):
     body = "".join(f"    s.Setup{i}(f({i}), \"x\").Old({i}).Next();\n" for i in range(20_000))
     got = removed(spark, "class T { void M() {\n" + body + "} }\n")
@@ -306,8 +312,9 @@ def test_statements_that_take_turns_with_directives_all_go(spark):
     assert [x for x in lines if x.startswith("#")] == [x for x in row.content.splitlines() if x.startswith("#")]
 
 
-def test_files_with_mark_characters_are_rewritten_and_keep_them(spark):
-    text = "class C {\n    string a = \"\u0001\u0002\u0003\";\n    void M() {\n        Go();\n        s.Old();\n    }\n}\n"
+@pytest.mark.parametrize("odd", ["\u0001\u0002\u0003", "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4", "\ufdd0\u0001\ufdd0\ufdd0\ufdd4", "\ufdd1\u0003\ufdd2"])
+def test_files_with_mark_characters_are_rewritten_and_keep_them(spark, odd):
+    text = f"class C {{\n    string a = \"{odd}\";\n    void M() {{\n        Go();\n        s.Old();\n    }}\n}}\n"
     row = apply(spark, text, rule("remove_invocation", "Old"))
     assert row.content == text.replace("        s.Old();\n", "")
 

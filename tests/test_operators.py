@@ -239,7 +239,7 @@ def test_undo(spark):
         "txn_id string, seq bigint, description string, error string",
     )
     ok = spark.createDataFrame([("u",)], "txn_id string")
-    plan = publish.undo_plan(log, ok, chunk_rows=2).orderBy("undo_order").collect()
+    plan = publish.undo_plan(log, ok).orderBy("undo_order").collect()
     assert [(r.txn_id, r.seq, r.undo_order) for r in plan] == [("t", 3, 1), ("t", 2, 2), ("t", 1, 3)]
     lines = publish.undo_report_lines(log).filter("txn_id = 't'").orderBy("section", "seq").collect()
     assert "\n".join(r.line for r in lines) == (
@@ -267,6 +267,28 @@ def test_numbering_in_chunks_equals_plain_numbering(spark):
     assert got.count() == 5000
 
 
+def test_sampled_ranges_split_a_hot_key_with_sparse_places(spark):
+    from pyspark.sql import Window
+
+    # A third of all rows is of one key; places lie 10,000,000 apart, one key and some places are null, places repeat.
+    i = F.col("id")
+    df = spark.range(30_000).select(
+        F.when(i % 3 == 0, F.lit("hot")).when(i % 3 == 1, (i % 5000).cast("string")).alias("k"),
+        F.when(i % 1000 != 7, F.pmod(i * 7919, F.lit(10_007)) * 10_000_000).alias("seq"),
+        i.alias("id"),
+    )
+    chunked = ranking.range_chunks(df, ["k"], ["seq", "id"])
+    sizes = chunked.filter("k = 'hot'").groupBy("_range").count().collect()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) >= 2 and max(r["count"] for r in sizes) < 10_000
+    assert len(sizes) <= parts + 1
+    known = chunked.filter("k IS NOT NULL")
+    got = ranking.number_rows(known, ["k"], [F.col("seq").asc_nulls_first(), F.col("id")], F.col("_range"))
+    want = df.filter("k IS NOT NULL").withColumn("w", F.row_number().over(Window.partitionBy("k").orderBy(F.col("seq").asc_nulls_first(), "id")))
+    assert got.join(want, "id").filter(F.col("position") == F.col("w")).count() == want.count() == got.count()
+    assert ranking.range_chunks(df.limit(0), ["k"], ["seq"]).count() == 0
+
+
 def test_rates_against_brute_force(spark):
     import random
 
