@@ -155,54 +155,129 @@ def plan_packages(
         merge_requests,
         request_titles(targets),
     )
-    listing = (
-        files.groupBy("repo_id", "ref")
-        .agg(
-            F.count_if(F.col("path").endswith(".csproj")).alias("has_projects"),
-            F.count_if(F.col("path").endswith(".cs")).alias("has_code"),
-        )
-        .withColumnsRenamed({"repo_id": "id", "ref": "target_branch"})
-    )
-    keys = ["id", "target_branch", "target_ord"]
-    updates = repository_updates(file_decisions(files, targets, allow_downgrade)).select(
-        F.col("repo_id").alias("id"),
-        F.col("ref").alias("target_branch"),
-        "target_ord",
-        "project_files",
-        "old_versions",
-    )
-    hits = (
-        code_hits(files, rules)
-        .groupBy(F.col("repo_id").alias("id"), F.col("ref").alias("target_branch"), "target_ord")
-        .agg(F.count(F.lit(1)).alias("code_files"))
+    cells = file_cells(of_wanted(files, chosen.select(F.col("id").alias("repo_id"), F.col("target_branch").alias("ref"))), targets, rules, allow_downgrade)
+    cells = cells.withColumnsRenamed({"repo_id": "id", "ref": "target_branch"})
+    # One more cell a repository than there are targets: that of its file listing.
+    each = F.array(
+        F.struct(
+            F.lit(_LISTING).alias("target_ord"),
+            F.lit(None).cast("string").alias("package"),
+            F.lit(None).cast("string").alias("new_version"),
+            F.lit(0).alias("rules"),
+        ),
+        *[
+            F.struct(
+                F.lit(i).alias("target_ord"),
+                F.lit(t.name).alias("package"),
+                F.lit(t.version).alias("new_version"),
+                F.lit(len(rules.get(i, []))).alias("rules"),
+            )
+            for i, t in enumerate(targets)
+        ],
     )
+    # Partitioned as ``plan_repositories`` groups, so its rows stay where they are.
+    listed = Window.partitionBy("id", "name", "target_branch")
     rows = (
-        chosen.join(listing, ["id", "target_branch"], "left")
-        .withColumn(
-            "t",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("target_ord"),
-                            F.lit(t.name).alias("package"),
-                            F.lit(t.version).alias("new_version"),
-                            F.lit(len(rules.get(i, []))).alias("rules"),
-                        )
-                        for i, t in enumerate(targets)
-                    ]
-                )
-            ),
-        )
+        chosen.withColumn("t", F.explode(each))
         .select("*", "t.*")
         .drop("t")
-        .join(updates, keys, "left")
-        .join(hits, keys, "left")
+        .join(cells, ["id", "target_branch", "target_ord"], "left")
+        .withColumn("has_projects", F.max("projects").over(listed))
+        .withColumn("has_code", F.max("code").over(listed))
+    )
+    return (
+        rows.filter(F.col("target_ord") != _LISTING)
+        .drop("projects", "code")
         .withColumn("project_files", F.coalesce("project_files", F.lit(0)))
         .withColumn("code_files", F.coalesce("code_files", F.lit(0)))
         .withColumn("has_migrations", (F.col("rules") > 0) & (F.coalesce("has_code", F.lit(0)) > 0))
     )
-    return rows
+
+
+# Words of 64 bits of the filter on (repository, ref): half a megabyte, whatever the size of the fleet.
+_WORDS = 1 << 16
+_LISTING = -1
+
+
+def of_wanted(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Files whose (repo_id, ref) may be among the wanted ones, without a shuffle.
+
+    A bit for each wanted pair's hash is looked up in the scan's own stage, before any text is looked at. Few other files
+    pass where there are far fewer pairs than bits; what passes is left to the join that follows.
+    """
+
+    def place(repo: str, ref: str) -> Column:
+        return F.pmod(F.xxhash64(repo, ref), F.lit(_WORDS * 64))
+
+    word = (place("repo_id", "ref") / 64).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place("repo_id", "ref"), F.lit(64)).cast("int"))
+    spark = files.sparkSession
+    set_bits = wanted.select(word.alias("w"), bit.alias("b"))
+    words = spark.range(_WORDS).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b")).unionByName(set_bits)
+    filled = words.groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = filled.agg(F.sort_array(F.collect_list(F.struct("w", "b")))["b"].alias("bits")).scalar()
+    return files.filter(F.get(bits, word).bitwiseAND(bit) != 0)
+
+
+def file_cells(files: DataFrame, targets: list[Target], rules_by_target: dict[int, list[dict]], allow_downgrade: bool) -> DataFrame:
+    """Per (repo_id, ref, target_ord): project files to change, their old versions, code files that name what rules look for.
+
+    The cell of no target counts the project and code files there are. Each file is looked at once and gives one array of
+    entries; equal entries are added up before they cross a shuffle.
+    """
+    path, content = F.col("path"), F.col("content")
+    project, code = path.endswith(".csproj"), path.endswith(".cs")
+
+    def entry(kind: str, name: Column | None = None, version: Column | None = None, ord_: Column | None = None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            (none if name is None else name).alias("_name"),
+            (none if version is None else version).alias("version"),
+            (F.lit(_LISTING) if ord_ is None else ord_).alias("target_ord"),
+        )
+
+    references = F.when(mentions_any(content, targets), deciding_references(content))
+    of_project = F.concat(
+        F.array(entry("projects")),
+        F.coalesce(
+            F.transform(references, lambda r: entry("reference", F.lower(r["package"]), r["version"])),
+            F.array().cast("array<struct<kind:string,_name:string,version:string,target_ord:int>>"),
+        ),
+    )
+    tests = [
+        F.when(contains_any(content, terms), entry("hit", ord_=F.lit(ord_)))
+        for ord_, rules in rules_by_target.items()
+        if (terms := preview_terms(rules))
+    ]
+    of_code = F.array_compact(F.array(entry("code"), *tests))
+    entries = files.select(
+        "repo_id", "ref", F.explode(F.when(project, of_project).when(code, of_code)).alias("e")
+    ).select("repo_id", "ref", "e.*")
+    side = targets_table(files.sparkSession, targets).select(
+        F.lower("name").alias("_name"), F.col("ord").alias("_ord"), F.col("version").alias("_version"), version_key("version").alias("_new")
+    )
+    decided = entries.join(F.broadcast(side), "_name", "left")  # the caller's list of targets, written in this plan
+    decision = upgrade_decision(
+        F.col("version"), F.col("_version"), version_key("version"), F.col("_new"), allow_downgrade
+    )
+    is_reference = F.col("kind") == "reference"
+    kept = decided.filter(~is_reference | (F.col("_ord").isNotNull() & is_update(decision))).select(
+        "repo_id", "ref", F.coalesce("_ord", "target_ord").alias("target_ord"), "kind", F.when(is_reference, F.col("version")).alias("version")
+    )
+    added = kept.groupBy("repo_id", "ref", "target_ord", "kind", "version").agg(F.count(F.lit(1)).alias("n"))
+
+    def of(kind: str, name: str) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, F.col("n"))).alias(name)
+
+    versions = F.array_sort(F.collect_list(F.when(is_reference, F.col("version"))))
+    return added.groupBy("repo_id", "ref", "target_ord").agg(
+        of("projects", "projects"),
+        of("code", "code"),
+        of("reference", "project_files"),
+        F.when(F.count_if(is_reference) > 0, F.array_join(versions, ", ")).alias("old_versions"),
+        of("hit", "code_files"),
+    )
 
 
 def plan_repositories(packages: DataFrame, targets: list[Target], epoch_seconds: int = 0) -> DataFrame:
@@ -225,21 +300,29 @@ def plan_repositories(packages: DataFrame, targets: list[Target], epoch_seconds:
     )
 
 
-def preview_summary(plan: DataFrame) -> DataFrame:
-    """Fleet totals of a plan, one row."""
+def preview_summary(plan: DataFrame, not_found: DataFrame | None = None) -> DataFrame:
+    """Fleet totals of a plan, one row.
+
+    ``errors`` counts the rows of ``not_found``, the requested repositories that there are none of; without it,
+    there is no such column.
+    """
 
     def outcome(*names: str) -> Column:
         return F.count_if(F.col("outcome").isin(*names))
 
     created = F.col("outcome") == "would_create"
-    return plan.agg(
+    totals = [
         F.count(F.lit(1)).alias("repositories"),
         outcome("would_create").alias("would_create"),
         outcome("existing_request").alias("existing_requests"),
         outcome("no_changes", "no_projects").alias("no_changes"),
         F.coalesce(F.sum(F.when(created, F.col("project_files"))), F.lit(0)).alias("project_files"),
         F.coalesce(F.sum(F.when(created, F.col("code_files"))), F.lit(0)).alias("code_files"),
-    )
+    ]
+    summary = plan.agg(*totals)
+    if not_found is None:
+        return summary
+    return summary.withColumn("errors", not_found.agg(F.count(F.lit(1))).scalar())
 
 
 def changed_paths(package_files: DataFrame, migrated_files: DataFrame) -> DataFrame:
