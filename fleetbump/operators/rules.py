@@ -243,6 +243,29 @@ def affected_files(files: DataFrame, rules: list[dict]) -> DataFrame:
     return code.filter(hit).select("repo_id", "path", call.alias("has_call"))
 
 
+# What a previewed change of a file is called.
+CHANGE_TYPE = "potential_change"
+CHANGE_DESCRIPTION = "File contains patterns that may be affected by migration rules"
+
+
+def potential_changes(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """Change rows of the static preview: (repo_id, path, type, description, rules).
+
+    ``rules`` names, in order, the rules that look for something the file holds. A rule without names to look for
+    applies to no file; one without a name of its own is shown as such.
+    """
+    looked_for = [(rule.get("name") or "Unnamed rule", preview_terms([rule])) for rule in rules]
+    tests = [F.when(contains_any(F.col("content"), terms), F.lit(name)) for name, terms in looked_for if terms]
+    found = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+    # Exploding one entry for files with any rule keeps the tests to one evaluation per file.
+    entry = F.transform(F.filter(F.array(found), lambda names: F.size(names) > 0), lambda names: F.struct(names.alias("rules")))
+    return (
+        files.filter(F.col("path").endswith(".cs"))
+        .select("repo_id", "path", F.explode(entry).alias("e"))
+        .select("repo_id", "path", F.lit(CHANGE_TYPE).alias("type"), F.lit(CHANGE_DESCRIPTION).alias("description"), "e.rules")
+    )
+
+
 def distinct_hits(hits: DataFrame) -> DataFrame:
     """Code-search hits as distinct paths per repository and term: path, else file name; first kept."""
     path = F.coalesce(F.nullif(F.col("path"), F.lit("")), F.nullif(F.col("filename"), F.lit("")))

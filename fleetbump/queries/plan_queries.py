@@ -213,6 +213,20 @@ def preview_summary(spark, sf):
     return upgrade.preview_summary(upgrade.plan_repositories(plan_packages(spark, sf), s.TARGETS, _EPOCH))
 
 
+@query(
+    "preview_summary_errors",
+    """SELECT count(*) AS repositories, count_if(outcome = 'would_create') AS would_create,
+              (SELECT count(*) FROM requests WHERE key NOT IN (SELECT id FROM repos)
+                 AND key NOT IN (SELECT path_with_namespace FROM repos)) AS errors
+       FROM plan_outcomes""",
+)
+def preview_summary_errors(spark, sf):
+    """Totals of a plan for requested repositories, some of which there are none of."""
+    plan = upgrade.plan_repositories(plan_packages(spark, sf), s.TARGETS, _EPOCH)
+    missing = catalog.unresolved_requests(s.requests(spark, sf), s.repos(spark, sf))
+    return upgrade.preview_summary(plan, missing).select("repositories", "would_create", "errors")
+
+
 @query(
     "existing_requests",
     """SELECT r.id, bool_or(m.iid IS NOT NULL) AS has_request FROM repos r LEFT JOIN merge_requests m
@@ -536,3 +550,16 @@ def parsed_results(spark, sf):
 )
 def merged_results(spark, sf):
     return publish.merge_results(result_batches(spark, sf))[0]
+
+
+@query(
+    "merged_result_names",
+    """SELECT run_id, kind, value, min(batch) AS batch, CAST(0 AS BIGINT) AS pos FROM (
+         SELECT run_id, batch, 'file' AS kind, file AS value FROM result_batches WHERE ok AND NOT broken
+         UNION ALL SELECT run_id, batch, 'rule', rule FROM result_batches WHERE ok AND NOT broken
+         UNION ALL SELECT run_id, batch, 'error', CASE WHEN broken THEN 'Failed to parse tool output' ELSE 'bad ' || (batch % 3) END
+         FROM result_batches WHERE broken OR NOT ok) GROUP BY run_id, kind, value""",
+)
+def merged_result_names(spark, sf):
+    names = publish.merge_results(result_batches(spark, sf))[1]
+    return names.select("run_id", "kind", "value", "place.batch", F.col("place.pos").cast("bigint").alias("pos"))

@@ -7,6 +7,8 @@ from fleetbump.operators import rules
 from fleetbump.queries import standins as s
 from fleetbump.queries.registry import query
 from fleetbump.schemas import ACTION, CONDITIONS, NODE, RULES
+from fleetbump.session import staged_path
+from fleetbump.sources import landed, sinks
 
 
 def _catalogue(spark, sf):
@@ -101,6 +103,38 @@ def search_terms(spark, sf):
     return rules.search_terms(rules.last_definitions(_catalogue(spark, sf))).select("term")
 
 
+# Terms stand under keys of their own at several depths; quotes, line ends and blanks have to survive, or to be rejected.
+@query(
+    "rule_document_terms",
+    """SELECT DISTINCT term FROM (
+         SELECT unnest(['Do' || replace(p_name, ' ', ''), p_brand, 'Old.' || p_type, 'Acme.' || p_brand, 'T"' || p_size || 'x',
+                        'arg' || p_size, 'Z' || p_brand, p_name]) AS term FROM part)
+       WHERE length(term) >= 3 AND NOT contains(term, ' ')""",
+)
+def rule_document_terms(spark, sf):
+    part = s.table(spark, sf, "part")
+    name = F.replace(F.col("p_name"), F.lit(" "), F.lit(""))
+    node = F.struct(
+        F.lit("Whatever").alias("type"),
+        F.concat(F.lit("Do"), name).alias("method_name"),
+        F.struct(F.concat(F.lit("Acme."), F.col("p_brand")).alias("containing_namespace"), F.lit("no").alias("note")).alias("deeper"),
+    )
+    action = F.struct(
+        F.col("p_brand").alias("replacement_method"),
+        F.concat(F.lit("arg"), s.text("p_size")).alias("argument_name"),
+        F.array(F.array(F.struct(F.concat(F.lit('T"'), s.text("p_size"), F.lit("x")).alias("new_type")))).alias("lists"),
+        F.concat(F.lit("Z"), "p_brand").alias("type_name"),
+        F.lit('"old_type": "inside a text"').alias("comment"),
+    )
+    body = F.struct(
+        F.array(F.struct(F.array(node).alias("target_nodes"), action.alias("action"))).alias("rules"),
+        F.concat(F.lit("Old."), "p_type").alias("old_namespace"),
+        F.col("p_name").alias("namespace"),
+    )
+    documents = part.select(F.col("p_partkey").alias("ord"), F.to_json(body).alias("json"))
+    return rules.terms_in_rules(documents).select("term")
+
+
 @query(
     "useful_terms",
     r"""SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents)
@@ -149,6 +183,26 @@ def static_preview(spark, sf):
     return rules.affected_files(plan_files(spark, sf), wanted).select("path", "has_call")
 
 
+@query(
+    "potential_changes",
+    """SELECT 'src/D' || doc_id || '.cs' AS path, 'potential_change' AS type,
+              'File contains patterns that may be affected by migration rules' AS description,
+              concat_ws(',', CASE WHEN kind = 0 OR contains(text, 'OldCall') THEN 'Remove OldCall' END,
+                        CASE WHEN contains(text, 'Renamed') THEN 'Rename Renamed' END,
+                        CASE WHEN kind = 1 OR contains(text, 'AddScan') OR contains(text, 'Scanner') THEN 'Drop isEnabled' END,
+                        CASE WHEN contains(text, 'Never') THEN 'Never' END) AS rules
+       FROM (SELECT *, doc_id % 3 AS kind FROM documents)
+       WHERE kind < 2 OR contains(text, 'OldCall') OR contains(text, 'Scanner') OR contains(text, 'Renamed')
+          OR contains(text, 'AddScan') OR contains(text, 'Never')""",
+)
+def potential_changes(spark, sf):
+    from fleetbump.queries.plan_queries import plan_files
+
+    wanted = [r for m in s.MIGRATIONS for r in m["rules"]]
+    found = rules.potential_changes(plan_files(spark, sf), wanted)
+    return found.select("path", "type", "description", F.array_join("rules", ",").alias("rules"))
+
+
 @query(
     "pages_with_calls",
     r"""SELECT page_id, regexp_matches(html, '\bwindow\s*\(') OR regexp_matches(html, '\btrack\s*\(')
@@ -197,3 +251,18 @@ def search_hits_among_candidates(spark, sf):
         F.explode(F.array(F.lit("src/click.cs"), F.lit("lib/view.cs"), F.lit("lib/none.cs"))).alias("path"),
     )
     return rules.hits_among(candidates, rules.distinct_hits(_hits(spark, sf)))
+
+
+@query(
+    "search_hits_read",
+    """SELECT repo_id, term, path, min(ord) AS ord FROM (
+         SELECT CAST(user_id AS VARCHAR) AS repo_id, 'term' || (event_id % 4) AS term, event_id AS ord,
+                CASE WHEN event_id % 3 = 0 THEN 'src/' || event_type || '.cs' WHEN event_id % 5 = 0 THEN NULL
+                     ELSE 'lib/' || event_type || '.cs' END AS path FROM events) WHERE path IS NOT NULL GROUP BY ALL""",
+)
+def search_hits_read(spark, sf):
+    """Hits of several terms, landed and read back."""
+    path = staged_path(spark, "hits")
+    landing = _hits(spark, sf).withColumn("term", F.concat(F.lit("term"), (F.col("ord") % 4).cast("string")))
+    sinks.write_table(landing, path, "json")
+    return rules.distinct_hits(landed.read_search_hits(spark, path)).select("repo_id", "term", "path", "ord")

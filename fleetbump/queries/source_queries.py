@@ -142,6 +142,50 @@ def tracking_documents(spark, sf):
     return read.select("merge_request_url", "status", "ord")
 
 
+def _documents(spark, docs, name):
+    """A file for each row."""
+    path = staged_path(spark, name)
+    docs.write.option("maxRecordsPerFile", 1).json(path)
+    return path
+
+
+@query(
+    "rule_catalogue_read",
+    """SELECT 'p' || p_partkey AS id, p_type AS description,
+              CAST(CASE WHEN p_partkey % 10 = 7 THEN 0 ELSE 1 END AS BIGINT) AS conditions,
+              CAST(CASE WHEN p_partkey % 10 = 8 THEN 0 ELSE 1 END AS BIGINT) AS rules FROM part""",
+)
+def rule_catalogue_read(spark, sf):
+    """Rule documents of up to a hundred entries, a file each."""
+    entries = _catalogue(spark, sf).withColumn("id", F.concat(F.lit("p"), F.col("ord").cast("string")))
+    entry = F.struct(*[c for c in entries.columns if c != "ord"])
+    docs = entries.groupBy(F.floor(F.col("ord") / 100).alias("g")).agg(F.collect_list(entry).alias("migrations")).drop("g")
+    read = landed.read_migrations(spark, _documents(spark, docs, "catalogue"))
+    return read.select(
+        "id",
+        "description",
+        F.size("version_conditions").cast("bigint").alias("conditions"),
+        F.size("rules").cast("bigint").alias("rules"),
+    )
+
+
+@query(
+    "tracking_documents_read",
+    """SELECT merge_request_url, status, row_number() OVER (PARTITION BY ord // 500 ORDER BY ord) - 1 AS place,
+              (SELECT count(DISTINCT ord // 500) FROM tracked) AS documents FROM tracked""",
+)
+def tracking_documents_read(spark, sf):
+    """Tracking documents of up to five hundred requests, a file each, in the order they were written."""
+    rows = s.tracked(spark, sf)
+    placed = F.struct("ord", F.struct(*[c for c in rows.columns if c != "ord"]).alias("mr"))
+    docs = rows.groupBy(F.floor(F.col("ord") / 500).alias("g")).agg(F.sort_array(F.collect_list(placed)).alias("listed"))
+    docs = docs.select(F.struct(F.col("g").cast("string").alias("generated_at")).alias("metadata"), F.col("listed.mr").alias("merge_requests"))
+    tracked, meta = landed.read_tracking(spark, _documents(spark, docs, "tracking-read"))
+    return tracked.select("merge_request_url", "status", F.col("ord").cast("bigint").alias("place")).withColumn(
+        "documents", meta.agg(F.count_distinct("generated_at")).scalar()
+    )
+
+
 @query(
     "tracking_snapshot",
     "SELECT merge_request_url, status, existed, package_name, len(repository_id || '.csproj') > 0 AS has_files FROM now",

@@ -247,6 +247,16 @@ s.SQL["failed_actions"] = "SELECT * FROM action_log WHERE txn_id NOT IN (SELECT
 s.SQL["failed_txns"] = "SELECT DISTINCT txn_id FROM failed_actions"
 
 
+def _rollback(spark, sf):
+    from fleetbump.operators import publish
+
+    actions = s.action_log(spark, sf)
+    open_ones = actions.join(s.succeeded_txns(spark, sf), "txn_id", "left_anti")
+    failed = open_ones.select(F.col("txn_id").alias("repo_id"), F.lit("no luck").alias("error")).distinct()
+    undo = publish.undo_report_lines(actions).withColumnRenamed("txn_id", "repo_id")
+    return reports.rollback_section(failed, undo)
+
+
 @query(
     "rollback_section_lines",
     """SELECT key, CAST(seq AS BIGINT) AS seq, line FROM (
@@ -262,12 +272,25 @@ s.SQL["failed_txns"] = "SELECT DISTINCT txn_id FROM failed_actions"
          UNION ALL SELECT txn_id, 6, '  • ' || description || ': ' || error FROM failed_actions WHERE error IS NOT NULL)""",
 )
 def rollback_section_lines(spark, sf):
-    from fleetbump.operators import publish
-
-    actions = s.action_log(spark, sf)
-    open_ones = actions.join(s.succeeded_txns(spark, sf), "txn_id", "left_anti")
-    failed = open_ones.select(F.col("txn_id").alias("repo_id"), F.lit("no luck").alias("error")).distinct()
-    undo = publish.undo_report_lines(actions).withColumnRenamed("txn_id", "repo_id")
-    return reports.rollback_section(failed, undo).filter(F.col("section") == 3).select("key", "seq", "line")
+    return _rollback(spark, sf).filter(F.col("section") == 3).select("key", "seq", "line")
 
 
+@query(
+    "rollback_section_whole",
+    """SELECT key, CAST(seq AS BIGINT) AS seq, line, CASE WHEN key = '' THEN 2 ELSE 3 END AS section FROM (
+         SELECT '' AS key, -1 AS seq, chr(10) || chr(10) || '## Rollback Information' || chr(10) || chr(10) ||
+                'The following repositories required rollback due to failures:' || chr(10) AS line WHERE (SELECT count(*) FROM failed_txns) > 0
+         UNION ALL
+         SELECT txn_id AS key, CAST(0 AS BIGINT) AS seq, '### Repository: ' || txn_id || chr(10) || chr(10) || '**Error:** no luck' || chr(10) ||
+                chr(10) || '**Rollback Details:**' || chr(10) || '```' AS line FROM failed_txns
+         UNION ALL SELECT txn_id, 100, '```' || chr(10) FROM failed_txns
+         UNION ALL SELECT txn_id, 1, '=== ROLLBACK REPORT ===' FROM failed_txns
+         UNION ALL SELECT txn_id, 2, CASE WHEN bool_and(error IS NULL) THEN 'Rollback completed successfully'
+                   ELSE 'Rollback completed with errors' END FROM failed_actions GROUP BY txn_id
+         UNION ALL SELECT txn_id, 3, chr(10) || 'Completed Actions:' FROM failed_actions WHERE error IS NULL GROUP BY txn_id
+         UNION ALL SELECT txn_id, 5, chr(10) || 'Failed Actions:' FROM failed_actions WHERE error IS NOT NULL GROUP BY txn_id
+         UNION ALL SELECT txn_id, 4, '  • ' || description FROM failed_actions WHERE error IS NULL
+         UNION ALL SELECT txn_id, 6, '  • ' || description || ': ' || error FROM failed_actions WHERE error IS NOT NULL)""",
+)
+def rollback_section_whole(spark, sf):
+    return _rollback(spark, sf).select("key", F.when(F.col("section") == 2, -1).otherwise(F.col("seq")).alias("seq"), "line", "section")
