@@ -3,23 +3,30 @@
 The kernel of two strings sums ``decay ** (spans)`` over their common subsequences of ``order`` letters (Lodhi et al.
 2002), normalised to 1 for equal strings, so a gapped, spelled-out or misspelled insult is still close to the insult. A
 sentence is a set of units: its words' letters, and the letters of three or more words of one or two characters in a row
-("i d i o t"). Units of over 24 letters are taken in overlapping windows. A sentence scores as its highest unit does, so
-one insult is enough. Kernels under ``floor``, and of units that lack more than one of a landmark's letters, count as 0.
+("i d i o t"). Units of over 24 letters are taken in overlapping windows. Kernels under ``floor``, and of units that lack more
+than one of a landmark's letters, count as 0. Where clean words are near a landmark too, its kernel is raised to ``power``,
+which is a kernel again and tells insults better from words that share their stem; a document's kernel with such a landmark is the sum over the ``units``
+of its different units that are nearest to any, so several weak signs add up. With other landmarks, called plain, it is
+the highest of its units.
 
 Training, on at most ``sample`` labelled rows of each class (a documented bound; the choice is by hash of the id):
 
-1. Landmarks are units that stand in far more toxic than clean documents, and the clean units closest to these.
-2. A unit's features are its kernels with the landmarks times the inverse root of the landmarks' own kernel matrix.
-3. A linear machine (squared hinge) is fitted on the sentences' units that are nearest to landmarks: of a clean document
-   all are clean; of a toxic document those are toxic that the last machine says so of, and the highest in any case.
-4. A document's margin is the highest of its sentences; a sigmoid fitted on the sample, weighed to the classes' true
-   shares, makes it a probability.
+1. Landmarks are units that stand in some toxic documents (1 in 100, at least 3) and in at least ``lift`` times the share
+   of the clean ones. They are taken greedily: each next one adds most to the toxic documents that hold fewest so far, so
+   each language and kind of insult gets its own. With them go the clean units that are closest to them and frequent. A
+   landmark is plain if of the units near it, weighed by nearness and by the classes' true shares, ``alone`` are toxic.
+2. A document's features are its kernels with the landmarks times the inverse root of the landmarks' own kernel matrix.
+3. A linear machine (squared hinge) is fitted on the documents' features, and on made-up toxic documents that hold one
+   plain landmark, as it is or with a letter put into it, and nothing else (together ``made_up`` of the toxic ones' weight): one such insult is enough.
+4. A sigmoid fitted on the same, weighed to the classes' true shares, makes its margin a probability.
 
 Scoring reads every whole text in one narrow pass. Each worker keeps the kernels of words it has met, up to a bound.
 
-Edge cases: null text counts as empty and has the margin of a sentence without units; labels that are null are left out;
-without labels of both classes every score is the share of toxic labels (0 if there are none); repeated rows and null
-ids keep their rows.
+Edge cases: null text counts as empty and scores as a document without units; labels that are null are left out; of equal
+labelled texts the label of the smallest id counts; without labels of both classes, or without landmarks, every score is
+the share of toxic labels (0 if there are none); repeated rows and null ids keep their rows; very long texts are read
+whole, a text at a time; units that are equally near are taken in their alphabetical order; an empty table gives no rows;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -41,10 +48,15 @@ class Settings:
     order: int = 3
     decay: float = 0.75
     floor: float = 0.3
-    landmarks: int = 20
-    background: int = 4
+    power: int = 3
+    lift: float = 20.0
+    alone: float = 0.9
+    made_up: float = 1.0
+    candidates: int = 1000
+    landmarks: int = 96
+    background: int = 24
     sample: int = 3000
-    units: int = 6
+    units: int = 8
     cost: float = 1.0
     reject: float = 0.7
 
@@ -52,6 +64,7 @@ class Settings:
 @dataclass
 class Model:
     landmarks: list[str]
+    powers: np.ndarray
     # One weight for each landmark's kernel: the machine's weights times the inverse root of the kernel matrix.
     weights: np.ndarray
     bias: float
@@ -67,6 +80,8 @@ WORD = re.compile(r"[^ \t-\r]+")
 SPACES = re.compile(r"[ \t-\r]+")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 CACHED = 1_000_000
+# A letter put into made-up insults; which one it is makes no difference to the kernel as long as no insult has it.
+FOREIGN = "\u0250"
 
 
 def letters(word: str) -> list[str]:
@@ -139,11 +154,11 @@ def similarities(units: list[str], landmarks: list[str], s: Settings) -> np.ndar
     alphabet = "".join(sorted(set("".join(landmarks))))
     bits = _letter_bits(units, alphabet)
     for k, landmark in enumerate(landmarks):
-        lacking = np.zeros(len(units), dtype=np.int8)
-        for c in landmark:
-            if (bit := alphabet.index(c)) < 64:
-                lacking += (bits & np.uint64(1 << bit)) == 0
-        near = np.flatnonzero(lacking <= 1)
+        known = [c for c in landmark if alphabet.index(c) < 64]
+        once = np.uint64(sum(1 << alphabet.index(c) for c in set(known)))
+        twice = np.uint64(sum(1 << alphabet.index(c) for c in set(known) if known.count(c) > 1))
+        lacking = ~bits & once
+        near = np.flatnonzero(((lacking & (lacking - np.uint64(1))) == 0) & ((lacking & twice) == 0))
         if len(near):
             out[near, k] = kernel([units[i] for i in near], [landmark], s.order, s.decay)
     # A unit's own kernel is at least that of its plain runs; only what may pass the floor is computed in full.
@@ -169,11 +184,12 @@ def _letters_only(words: Words, at: np.ndarray) -> np.ndarray:
 class Scorer:
     """Sentence features and document margins, with the kernels of the words met so far."""
 
-    def __init__(self, landmarks: list[str], s: Settings):
-        self.landmarks, self.s = landmarks, s
+    def __init__(self, landmarks: list[str], powers: np.ndarray, s: Settings):
+        self.landmarks, self.powers, self.s = landmarks, powers, s
         self.known: set[int] = set()
         self.runs: set[str] = set()
-        self.near: dict[str, np.ndarray] = {}
+        self.near: dict[str, list[str]] = {}
+        self.kernels: dict[str, np.ndarray] = {}
         self.near_hashes: set[int] = set()
 
     def _learn(self, raw: list[str]) -> list[bool]:
@@ -181,20 +197,21 @@ class Scorer:
         parts = [letters(w) for w in raw]
         units = sorted({u for p in parts for u in p})
         place = {u: i for i, u in enumerate(units)}
-        found = similarities(units, self.landmarks, self.s)
+        found = similarities(units, self.landmarks, self.s) ** self.powers
         close = found.any(axis=1)
         told = []
         for word, part in zip(raw, parts, strict=True):
-            rows = [place[u] for u in part if close[place[u]]]
-            if rows:
-                self.near[word] = found[rows].max(axis=0)
-            told.append(bool(rows))
+            own = [u for u in part if close[place[u]]]
+            if own:
+                self.near[word] = own
+                self.kernels.update((u, found[place[u]]) for u in own)
+            told.append(bool(own))
         return told
 
     def rows_near(self, column: pa.Array) -> np.ndarray:
         """Which rows hold a word, or run of very short words, that is near a landmark."""
         if len(self.known) + len(self.runs) > CACHED:
-            self.known, self.runs, self.near, self.near_hashes = set(), set(), {}, set()
+            self.known, self.runs, self.near, self.kernels, self.near_hashes = set(), set(), {}, {}, set()
         words = words_of(column)
         data, rows = words.data.tobytes(), words.rows()
         hashes, first = np.unique(words.hashes, return_index=True)
@@ -217,25 +234,28 @@ class Scorer:
             out[row] |= not own.isdisjoint(self.near)
         return out
 
-    def sentences(self, text: str) -> list[np.ndarray]:
-        """Kernels of the sentences' units that are near a landmark, and of runs over the end of a sentence."""
+    def document(self, text: str) -> np.ndarray:
+        """Kernels of a document: the sum over its units that are nearest to landmarks, runs over sentences' ends too."""
         held = words_and_runs(text).union(*map(words_and_runs, SENTENCE.split(text)))
-        return [self.near[w] for w in sorted(held) if w in self.near]
-
-    def features(self, column: pa.Array) -> list[list[np.ndarray]]:
-        """The units near a landmark of each row."""
+        units = sorted({u for w in held if w in self.near for u in self.near[w]})
+        if not units:
+            return np.zeros(len(self.landmarks))
+        found = np.stack([self.kernels[u] for u in units])
+        most = found[np.argsort(-found.max(axis=1), kind="stable")[: self.s.units]].sum(axis=0)
+        return np.where(self.powers == 1, found.max(axis=0), most)
+
+    def features(self, column: pa.Array) -> np.ndarray:
+        """Kernels, rows x landmarks."""
         near = self.rows_near(column)
-        return [
-            self.sentences((column[i].as_py() or "").lower()) if near[i] else [] for i in range(len(column))
-        ]
+        out = np.zeros((len(column), len(self.landmarks)))
+        for i in np.flatnonzero(near).tolist():
+            out[i] = self.document((column[i].as_py() or "").lower())
+        return out
 
     def margins(self, column: pa.Array, model: Model) -> np.ndarray:
-        out = np.full(len(column), model.bias)
-        if model.landmarks:
-            for i, found in enumerate(self.features(column)):
-                if found:
-                    out[i] = model.bias + (np.stack(found) @ model.weights).max()
-        return out
+        if not model.landmarks:
+            return np.full(len(column), model.bias)
+        return self.features(column) @ model.weights + model.bias
 
 
 def held_out(doc_id: Column) -> Column:
@@ -252,7 +272,8 @@ def _sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
         chosen = own if chosen is None else chosen.unionByName(own)
     # At most 2 * sample ids.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return written(texts.dropDuplicates(["text"]), "labelled")
+    first = texts.groupBy("text").agg(F.min(F.struct("doc_id", "toxic")).alias("first"))
+    return written(first.select("text", "first.*"), "labelled")
 
 
 def _units(batches):
@@ -265,54 +286,83 @@ def _units(batches):
         yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(toxic, pa.int64())], ["unit", "toxic"])
 
 
-def _landmarks(sample: DataFrame, classes: tuple[int, int], s: Settings) -> list[str]:
+def _cover(sample: DataFrame, candidates: list[str], s: Settings) -> list[str]:
+    """At most ``landmarks`` candidates, so that toxic documents hold as many of them as may be, as evenly as may be.
+
+    What a candidate adds to a document halves with each one chosen before it that stands there.
+    """
+    place = {u: i for i, u in enumerate(candidates)}
+
+    def held(batches):
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                own = {u for w in words_and_runs((text or "").lower()) for u in letters(w)}
+                rows.append(sorted(place[u] for u in own if u in place))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["held"])
+
+    # At most ``sample`` documents by ``candidates``.
+    found = sample.where("toxic = 1").select("text").mapInArrow(held, "held array<int>").collect()
+    stands = np.zeros((len(found), len(candidates)), dtype=bool)
+    for row, r in enumerate(found):
+        stands[row, r.held] = True
+    worth, chosen = np.ones(len(found)), []
+    while len(chosen) < min(s.landmarks, len(candidates)):
+        adds = worth @ stands
+        best = int(adds.argmax())  # of equal ones the first: the more frequent, then by the alphabet
+        chosen.append(candidates[best])
+        worth[stands[:, best]] /= 2
+        stands[:, best] = False
+    return chosen
+
+
+def _landmarks(sample: DataFrame, classes: tuple[int, int], prior: float, s: Settings) -> tuple[list[str], np.ndarray]:
+    """Landmarks, the plain ones and the background included, and the power of each one's kernel."""
     clean, toxic = classes
     counts = sample.select("text", "toxic").mapInArrow(_units, "unit string, toxic long").groupBy("unit")
     counts = counts.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     counts = written(counts, "units")
     lift = (F.col("a") / toxic) / ((F.col("b") + 0.5) / clean)
-    strong = counts.where((F.col("a") >= max(2, toxic // 20)) & (lift >= 20) & (F.length("unit") > s.order))
-    strong = [r.unit for r in strong.orderBy(F.desc("a"), "unit").limit(s.landmarks).collect()]
+    strong = counts.where((F.col("a") >= max(3, toxic // 100)) & (lift >= s.lift) & (F.length("unit") > s.order))
+    candidates = [r.unit for r in strong.orderBy(F.desc("a"), "unit").limit(s.candidates).collect()]
+    strong = _cover(sample, candidates, s)
     if not strong:
-        return []
+        return [], np.zeros(0)
 
     def closest(batches):
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            found = similarities(units, strong, s).max(axis=1) if units else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(found)], ["unit", "near"])
-
-    others = counts.where("b >= 1 and a <= b").select("unit").mapInArrow(closest, "unit string, near double")
-    others = others.where("near > 0").orderBy(F.desc("near"), "unit").limit(s.background)
-    return strong + [r.unit for r in others.collect()]
-
-
-def _instances(landmarks: list[str], s: Settings):
-    """The units of each document that are nearest to landmarks, at most ``units``; one of zeros if none is."""
-
-    def pick(batches):
-        scorer = Scorer(landmarks, s)
+            near = similarities(batch.column("unit").to_pylist(), strong, s)
+            rows = np.flatnonzero(near.any(axis=1))
+            part = batch.take(pa.array(rows))
+            columns = [*(part.column(c) for c in ("unit", "a", "b")), pa.array(list(near[rows]), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["unit", "a", "b", "near"])
+
+    # The sample's units that are near a landmark at all.
+    others = written(counts.mapInArrow(closest, "unit string, a long, b long, near array<double>"), "near-units")
+    sums = others.select("a", "b", F.posexplode("near").alias("k", "near")).withColumn("near", F.pow("near", F.lit(s.power))).groupBy("k")
+    sums = sums.agg(F.sum(F.col("near") * F.col("a")).alias("a"), F.sum(F.col("near") * F.col("b")).alias("b"))
+    plain = {
+        r.k for r in sums.collect() if prior * r.a / toxic >= s.alone * (prior * r.a / toxic + (1 - prior) * r.b / clean)
+    }
+    # Of the clean units that stand near a landmark, those that are nearest and stand in several documents.
+    weight = F.array_max("near") * F.least("b", F.lit(5))
+    background = others.where("b >= 2 and a <= b").orderBy(weight.desc(), "unit").limit(s.background)
+    background = [r.unit for r in background.collect()]
+    powers = [1 if k in plain else s.power for k in range(len(strong))] + [s.power] * len(background)
+    return strong + background, np.array(powers, dtype=float)
+
+
+def _documents(landmarks: list[str], powers: np.ndarray, s: Settings):
+    """Features of each labelled document."""
+
+    def described(batches):
+        scorer = Scorer(landmarks, powers, s)
         for batch in batches:
             for part in chunks(batch):
-                rows = []
-                for found, toxic, doc in zip(
-                    scorer.features(part.column("text")),
-                    part.column("toxic").to_pylist(),
-                    part.column("doc_id").to_pylist(),
-                    strict=True,
-                ):
-                    found = sorted(found, key=lambda x: -x.max()) or [np.zeros(len(landmarks))]
-                    rows += [(doc, toxic, x.tolist()) for x in found[: s.units]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], pa.list_(pa.float64())),
-                    ],
-                    ["doc", "toxic", "near"],
-                )
-
-    return pick
+                near = pa.array(list(scorer.features(part.column("text"))), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), near], ["doc", "toxic", "near"])
+
+    return described
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
@@ -350,35 +400,30 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     clean, toxic = shares.get(0, 0), shares.get(1, 0)
     usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     prior = usable.agg(F.avg("toxic")).first()[0] or 0.0
-    landmarks = _landmarks(sample, (clean, toxic), s) if clean and toxic else []
+    landmarks, powers = _landmarks(sample, (clean, toxic), prior, s) if clean and toxic else ([], None)
     if not landmarks:
         base = min(max(prior, 1e-9), 1 - 1e-9)
-        return Model([], np.zeros(0), 0.0, 0.0, float(np.log(base / (1 - base))))
-    # At most 2 * sample * units rows of as many numbers as there are landmarks.
-    got = sample.mapInArrow(
-        _instances(landmarks, s), "doc long, toxic long, near array<double>"
-    ).toPandas().sort_values(["doc"], kind="stable", ignore_index=True)
-    near = np.stack(got["near"].to_numpy())
+        return Model([], np.zeros(0), np.zeros(0), 0.0, 0.0, float(np.log(base / (1 - base))))
+    # At most 2 * sample rows of as many numbers as there are landmarks.
+    got = sample.mapInArrow(_documents(landmarks, powers, s), "doc long, toxic int, near array<double>")
+    got = got.toPandas().sort_values(["doc"], kind="stable", ignore_index=True)
+    # Landmarks of different powers belong to different kernels, whose sum is the machine's.
     square = similarities(landmarks, landmarks, Settings(**{**s.__dict__, "floor": 0.0}))
-    square = (square + square.T) / 2
+    square = ((square + square.T) / 2) ** powers * (powers[:, None] == powers)
     values, vectors = np.linalg.eigh(square)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    x, label = near @ root, got["toxic"].to_numpy()
-    doc = got["doc"].to_numpy()
-    weight = np.where(label == 1, prior / toxic, (1 - prior) / clean) * len(doc)
-    margin = near.max(axis=1)
-    positive = (label == 1) & (margin > 0)
-    for _ in range(6):
-        order = np.lexsort((-margin, doc))
-        best = np.zeros(len(doc), dtype=bool)
-        best[order[np.append(True, doc[order][1:] != doc[order][:-1])]] = True
-        positive |= (label == 1) & best
-        use = (label == 0) | positive
-        w = _machine(x[use], np.where(positive[use], 1.0, -1.0), weight[use] / weight[use].mean(), s.cost)
-        margin = x @ w[:-1] + w[-1]
-        positive = (label == 1) & (margin > 0)
-    slope, offset = _sigmoid(margin[best], label[best], weight[best] / weight[best].mean())
-    return Model(landmarks, root @ w[:-1], float(w[-1]), slope, offset)
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    near, label = np.stack(got["near"].to_numpy()), got["toxic"].to_numpy()
+    x = near @ root
+    weight = np.where(label == 1, prior / toxic, (1 - prior) / clean) * len(label)
+    plain = [landmarks[k] for k in np.flatnonzero(powers == 1)]
+    plain += [w[: len(w) // 2] + FOREIGN + w[len(w) // 2 :] for w in plain]
+    single = similarities(plain, landmarks, s) ** powers @ root
+    fitted = np.vstack([x, single]), np.append(np.where(label == 1, 1.0, -1.0), np.ones(len(plain)))
+    own = s.made_up * prior * len(label) / max(1, len(plain))
+    weight = np.append(weight, np.full(len(plain), own))
+    w = _machine(*fitted, weight, s.cost)
+    slope, offset = _sigmoid(fitted[0] @ w[:-1] + w[-1], fitted[1] > 0, weight)
+    return Model(landmarks, powers, root @ w[:-1], float(w[-1]), slope, offset)
 
 
 def _probability(margin: np.ndarray, model: Model) -> np.ndarray:
@@ -389,7 +434,7 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Dat
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
 
     def scored(batches):
-        scorer = Scorer(model.landmarks, settings)
+        scorer = Scorer(model.landmarks, model.powers, settings)
         for batch in batches:
             for part in chunks(batch):
                 found = _probability(scorer.margins(part.column("text"), model), model)
@@ -409,7 +454,7 @@ def keep_clean(docs: DataFrame, model: Model, settings: Settings = Settings()) -
     """The rows of ``docs`` that score below ``reject``, with all their columns; no row moves."""
 
     def clean(batches):
-        scorer = Scorer(model.landmarks, settings)
+        scorer = Scorer(model.landmarks, model.powers, settings)
         for batch in batches:
             for part in chunks(batch):
                 found = _probability(scorer.margins(part.column("text"), model), model)
