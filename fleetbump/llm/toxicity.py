@@ -47,14 +47,14 @@ from fleetbump.llm.words import Words, chunks, words_of
 class Settings:
     order: int = 3
     decay: float = 0.75
-    floor: float = 0.3
+    floor: float = 0.5
     power: int = 3
     lift: float = 20.0
     alone: float = 0.9
     made_up: float = 1.0
     candidates: int = 1000
-    landmarks: int = 96
-    background: int = 24
+    landmarks: int = 48
+    background: int = 12
     sample: int = 3000
     units: int = 8
     cost: float = 1.0
