@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 _MARK = "\u0001"
 _WIDTH = 20
 _WIDE = 300
+_WIDEST = 4300  # Fixed value: numbers of more digits are not read, so neither is a version that has one.
 
 # The public grammar of PEP 440, appendix B; groups: epoch, release, pre word, pre number,
 # implicit post number, post word, post number, dev word, dev number, local.
@@ -51,11 +52,13 @@ _RANKS = (
     (r"(?<=[+.])(\d+)(?=\.[^ ]*$|$)", "|$1"),
 )
 # Numbers on their own are padded; digits inside a local text part are left alone. A number longer
-# than the width is padded further and marked, which sorts it after all shorter ones.
+# than the width is padded further and marked, which sorts it after all shorter ones; so again, with two marks.
 _ALONE = r"(?<![a-z\d}])"
 _PADDING = (
+    (_ALONE + r"0*([1-9]\d{%d,})(?![a-z\d])" % _WIDE, "}}" + "0" * _WIDEST + "$1"),
+    (r"\}\}\d*(\d{%d})(?!\d)" % _WIDEST, "}}$1"),
     (_ALONE + r"0*([1-9]\d{%d,})(?![a-z\d])" % _WIDTH, "}" + "0" * _WIDE + "$1"),
-    (r"\}\d*(\d{%d})(?!\d)" % _WIDE, "}$1"),
+    (r"(?<!\})\}\d*(\d{%d})(?!\d)" % _WIDE, "}$1"),
     (_ALONE + r"(\d+)(?![a-z\d])", "0" * _WIDTH + "$1"),
     (_ALONE + r"\d*(\d{%d})(?![a-z\d])" % _WIDTH, "$1"),
 )
@@ -88,7 +91,9 @@ def version_key(version: Column | str) -> Column:
     normal = F.regexp_replace(F.replace(F.lower(text), F.lit(_MARK), F.lit("?")), _GRAMMAR, _NORMAL)
     # Only a version that parsed begins with the mark; for others there is no second piece.
     general = F.get(F.split(_chain(normal, _RANKS + _PADDING), _MARK), F.lit(1))
-    return F.when(text.rlike(_PLAIN), plain).otherwise(general)
+    # The length is asked first, so the pattern runs on next to nothing.
+    readable = (F.length(text) <= _WIDEST) | ~text.rlike(r"(?i)(?<![a-z\d])\d{%d}" % (_WIDEST + 1))
+    return F.when(text.rlike(_PLAIN), plain).when(readable, general)
 
 
 def version_lt(left: Column | str, right: Column | str) -> Column:

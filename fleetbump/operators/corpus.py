@@ -13,7 +13,6 @@ from fleetbump.functions import code
 from fleetbump.functions.lines import changes
 from fleetbump.functions.patterns import let, newline_of, normalize_newlines
 from fleetbump.operators.rules import contains_any
-from fleetbump.session import small
 
 
 def call_inventory(files: DataFrame) -> DataFrame:
@@ -188,7 +187,7 @@ def rule_hits(inventory: DataFrame, nodes: DataFrame, declarations: bool) -> Dat
     keyed = rows.withColumn("_kind", F.col("kind")).withColumn(
         "_name", F.explode(F.array(F.lower("name"), F.lit(_ANY_NAME)))
     )
-    hits = keyed.join(small(_targets(nodes)), ["_kind", "_name"])
+    hits = keyed.join(_targets(nodes), ["_kind", "_name"])
     if declarations:
         hits = hits.filter(_declaration_matches())
     return hits.drop("_kind", "_name", "_class", "_attributes", "_parameters")

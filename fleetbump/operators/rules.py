@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from fleetbump import schemas
 from fleetbump.functions.patterns import has_call, is_useful_term
 from fleetbump.functions.versions import crosses, usable_conditions, version_key
-from fleetbump.session import small
 
 # Rule keys whose text is worth searching files for.
 TERM_KEYS = (
@@ -69,28 +68,22 @@ def by_package_and_id(migrations: DataFrame, package: str, migration_id: str) ->
 def applicable(moves: DataFrame, migrations: DataFrame, from_zero: bool = False) -> DataFrame:
     """Moves (package, old_version, new_version) with every migration they trigger.
 
-    ``from_zero`` compares from version 0.0.0 whatever the old version is. The order keys of the
-    conditions are computed once per migration, not once per move.
+    ``from_zero`` compares from version 0.0.0 whatever the old version is. Conditions are tried once for each
+    different move of a package, so a package that has many references and many rules makes no product of the two;
+    what holds is joined back to the references.
     """
-    catalogue = small(
-        migrations.select(
-            F.lower("package_name").alias("_package"),
-            F.col("id").alias("migration_id"),
-            F.col("ord").alias("migration_ord"),
-            usable_conditions(F.col("version_conditions")).alias("_conditions"),
-        )
+    catalogue = migrations.select(
+        F.lower("package_name").alias("_package"),
+        F.col("id").alias("migration_id"),
+        F.col("ord").alias("migration_ord"),
+        usable_conditions(F.col("version_conditions")).alias("_conditions"),
     )
+    named = moves.withColumn("_package", F.lower("package"))
+    keys = ["_package", "new_version"] if from_zero else ["_package", "old_version", "new_version"]
     old = F.lit("0.0.0") if from_zero else F.col("old_version")
-    keyed = (
-        moves.withColumn("_package", F.lower("package"))
-        .withColumn("_old", version_key(old))
-        .withColumn("_new", version_key("new_version"))
-    )
-    return (
-        keyed.join(catalogue, "_package")
-        .filter(crosses(F.col("_conditions"), F.col("_old"), F.col("_new")))
-        .drop("_package", "_old", "_new", "_conditions")
-    )
+    different = named.select(*keys).distinct().withColumn("_old", version_key(old)).withColumn("_new", version_key("new_version"))
+    hits = different.join(catalogue, "_package").filter(crosses(F.col("_conditions"), F.col("_old"), F.col("_new")))
+    return named.join(hits.select(*keys, "migration_id", "migration_ord"), keys).select(*moves.columns, "migration_id", "migration_ord")
 
 
 def rule_nodes(migrations: DataFrame) -> DataFrame:

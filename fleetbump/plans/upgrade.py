@@ -14,7 +14,6 @@ from fleetbump.functions.references import Target, all_references, deciding_refe
 from fleetbump.functions.versions import is_update, upgrade_decision, version_key
 from fleetbump.operators.catalog import with_target_branch
 from fleetbump.operators.rules import applicable, contains_any, migrations_table, preview_terms
-from fleetbump.session import BROADCAST_ROWS
 
 
 def targets_table(spark: SparkSession, targets: list[Target]) -> DataFrame:
@@ -35,11 +34,8 @@ def package_references(files: DataFrame) -> DataFrame:
     return found.select("repo_id", "ref", "path", "r.*")
 
 
-def join_targets(references: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
-    """References with the targets of the same package, whatever the case of the name.
-
-    ``rows`` is the number of targets; above the broadcast bound the join is shuffled.
-    """
+def join_targets(references: DataFrame, targets: DataFrame) -> DataFrame:
+    """References with the targets of the same package, whatever the case of the name."""
     side = targets.select(
         F.lower("name").alias("_name"),
         F.col("ord").alias("target_ord"),
@@ -47,15 +43,13 @@ def join_targets(references: DataFrame, targets: DataFrame, rows: int) -> DataFr
         F.col("version").alias("new_version"),
         version_key("version").alias("_new"),
     )
-    if rows <= BROADCAST_ROWS:
-        side = F.broadcast(side)
     return references.withColumn("_name", F.lower("package")).join(side, "_name").drop("_name")
 
 
 def reference_decisions(
-    references: DataFrame, targets: DataFrame, rows: int, allow_downgrade: bool = False
+    references: DataFrame, targets: DataFrame, allow_downgrade: bool = False
 ) -> DataFrame:
-    joined = join_targets(references, targets, rows)
+    joined = join_targets(references, targets)
     return joined.withColumn(
         "decision",
         upgrade_decision(
@@ -71,7 +65,7 @@ def file_decisions(files: DataFrame, targets: list[Target], allow_downgrade: boo
         "repo_id", "ref", "path", F.explode(deciding_references(F.col("content"))).alias("r")
     )
     flat = deciding.select("repo_id", "ref", "path", "r.*")
-    return reference_decisions(flat, targets_table(files.sparkSession, targets), len(targets), allow_downgrade)
+    return reference_decisions(flat, targets_table(files.sparkSession, targets), allow_downgrade)
 
 
 def repository_updates(decisions: DataFrame) -> DataFrame:
@@ -251,13 +245,13 @@ def file_cells(files: DataFrame, targets: list[Target], rules_by_target: dict[in
         if (terms := preview_terms(rules))
     ]
     of_code = F.array_compact(F.array(entry("code"), *tests))
-    entries = files.select(
-        "repo_id", "ref", F.explode(F.when(project, of_project).when(code, of_code)).alias("e")
+    entries = files.filter(project | code).select(
+        "repo_id", "ref", F.explode(F.when(project, of_project).otherwise(of_code)).alias("e")
     ).select("repo_id", "ref", "e.*")
     side = targets_table(files.sparkSession, targets).select(
         F.lower("name").alias("_name"), F.col("ord").alias("_ord"), F.col("version").alias("_version"), version_key("version").alias("_new")
     )
-    decided = entries.join(F.broadcast(side), "_name", "left")  # the caller's list of targets, written in this plan
+    decided = entries.join(side, "_name", "left")
     decision = upgrade_decision(
         F.col("version"), F.col("_version"), version_key("version"), F.col("_new"), allow_downgrade
     )

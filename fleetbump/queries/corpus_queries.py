@@ -8,7 +8,6 @@ from fleetbump.functions.patterns import newline_of, normalize_newlines
 from fleetbump.operators import corpus, rules
 from fleetbump.queries import standins as s
 from fleetbump.queries.registry import query
-from fleetbump.session import spread
 
 # The file before any rule. {more} is an extra use of scanFlag in even documents, {note} a comment
 # that mentions a removed call in every third.
@@ -99,7 +98,7 @@ def _files_of(documents, template):
 
 
 def code_files(spark, sf):
-    return _files_of(spread(s.table(spark, sf, "documents"), "doc_id"), BEFORE)
+    return _files_of(s.spread(s.table(spark, sf, "documents"), "doc_id"), BEFORE)
 
 
 _PATH = "'src/D' || doc_id || '.cs'"

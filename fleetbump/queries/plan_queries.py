@@ -8,7 +8,6 @@ from fleetbump.operators import catalog, publish
 from fleetbump.plans import upgrade
 from fleetbump.queries import standins as s
 from fleetbump.queries.registry import query
-from fleetbump.session import spread
 
 _EPOCH = 1_700_000_000
 
@@ -68,7 +67,7 @@ def rewritten_project_files(spark, sf):
 def rewritten_one_package(spark, sf):
     """Rewrite with a single target; files of the other targets stay as they are."""
     files = s.project_files(spark, sf)
-    refs = upgrade.join_targets(s.package_refs(spark, sf), upgrade.targets_table(spark, s.TARGETS), len(s.TARGETS))
+    refs = upgrade.join_targets(s.package_refs(spark, sf), upgrade.targets_table(spark, s.TARGETS))
     wanted = refs.select("repo_id", "path")
     one = rewrite_references(F.col("content"), [s.TARGETS[1]])["content"]
     return files.join(wanted, ["repo_id", "path"], "left_semi").select(
@@ -109,7 +108,7 @@ def distinct_old_versions(spark, sf):
 
 def plan_files(spark, sf):
     """Project files of the order lines plus one code file per document."""
-    code = spread(s.table(spark, sf, "documents"), "doc_id").select(
+    code = s.spread(s.table(spark, sf, "documents"), "doc_id").select(
         (F.col("doc_id") % 97).cast("string").alias("repo_id"),
         F.when(F.col("doc_id") % 2 == 0, F.lit("release")).otherwise(F.lit("main")).alias("ref"),
         F.concat(F.lit("src/D"), s.text("doc_id"), F.lit(".cs")).alias("path"),

@@ -61,7 +61,7 @@ def version_comparisons(spark, sf):
 def upgrade_decisions(spark, sf):
     refs = s.package_refs(spark, sf)
     targets = upgrade.targets_table(spark, s.TARGETS)
-    return upgrade.reference_decisions(refs, targets, len(s.TARGETS)).select(
+    return upgrade.reference_decisions(refs, targets).select(
         "repo_id", "path", "package", "version", "new_version", "decision"
     )
 
@@ -74,7 +74,7 @@ def upgrade_decisions(spark, sf):
 def upgrade_decisions_with_downgrades(spark, sf):
     refs = s.package_refs(spark, sf)
     targets = upgrade.targets_table(spark, s.TARGETS)
-    decided = upgrade.reference_decisions(refs, targets, len(s.TARGETS), allow_downgrade=True)
+    decided = upgrade.reference_decisions(refs, targets, allow_downgrade=True)
     return decided.groupBy("new_version", "decision").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -85,7 +85,7 @@ def upgrade_decisions_with_downgrades(spark, sf):
 )
 def references_of_targets(spark, sf):
     targets = upgrade.targets_table(spark, s.TARGETS)
-    joined = upgrade.join_targets(s.package_refs(spark, sf), targets, len(s.TARGETS))
+    joined = upgrade.join_targets(s.package_refs(spark, sf), targets)
     return joined.select("repo_id", "path", "target_name", "new_version")
 
 
@@ -97,7 +97,7 @@ _HOLDS = """CASE c.type WHEN 'greater_than' THEN t.key > c.low AND {old} <= c.lo
 
 def _moves(spark, sf):
     targets = upgrade.targets_table(spark, s.TARGETS)
-    joined = upgrade.join_targets(s.package_refs(spark, sf), targets, len(s.TARGETS))
+    joined = upgrade.join_targets(s.package_refs(spark, sf), targets)
     return joined.select("repo_id", "path", "package", F.col("version").alias("old_version"), "new_version")
 
 

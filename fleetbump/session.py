@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,11 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
-# Largest table that may be hinted as a broadcast. Rule and target catalogues are a few hundred rows.
-BROADCAST_ROWS = 20_000
-
-SMALL_PER_CORE = 4 * 1024 * 1024
-
 
 def build_session(master: str | None = None, app: str = "fleetbump", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -46,25 +40,3 @@ def shared_folder(spark: SparkSession) -> str:
 def staged_path(spark: SparkSession, name: str) -> str:
     """A new path for one run's table; never reused, so a retried job cannot read half a table."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it has at most ``max_rows`` rows.
-
-    A larger table is returned without a hint, so the join is shuffled (and split by AQE where a
-    key is hot) instead.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Put the rows of a very small table on all cores before costly per-row work.
-
-    Spark gives a table of less than 4 MiB (its cost of opening a file) per core fewer splits than cores, and a file of
-    one row group a single one. Only such tables are shuffled here; larger ones are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, *keys) if size < cores * SMALL_PER_CORE else df

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetbump.functions.references import Target
-from fleetbump.operators import audit, catalog, corpus, publish
+from fleetbump.operators import audit, catalog, corpus, publish, rules
 from fleetbump.plans import upgrade
-from fleetbump.session import BROADCAST_ROWS, small, spread
+from fleetbump.queries.standins import spread
 from fleetbump.sources import landed
 
 RULES = [
@@ -50,9 +50,9 @@ def test_contents_stay_in_their_scan_stage(spark, files):
     plan = formatted(upgrade.plan_packages(repos, files, mrs, [Target("P", "2.0")], MIGRATIONS))
     found = exchanges(plan)
     assert found and not any("content#" in b for b in found)
-    # The listing reads no contents at all.
-    assert "ReadSchema: struct<repo_id:string,ref:string,path:string>" in plan
-    assert "StringEndsWith(path,.csproj)" in plan
+    # One scan gives the listing, the references and the code files.
+    assert plan.count("ReadSchema: struct<repo_id:string,ref:string,path:string,content:string>") == 1
+    assert "Or(StringEndsWith(path,.csproj),StringEndsWith(path,.cs))" in plan
 
 
 def test_rewrites_shuffle_nothing(files):
@@ -92,16 +92,35 @@ def test_request_windows_use_time_chunks(spark):
     assert re.search(r"Exchange[^\n]*\n.*\n.*hashpartitioning\(key#\d+, _at#", plan)
 
 
-def test_broadcast_only_when_counted_small(spark):
-    assert "BroadcastHashJoin" in formatted(spark.range(10).join(small(spark.range(5)), "id"))
-    big = spark.range(BROADCAST_ROWS + 1)
+def test_join_kinds_are_left_to_spark(spark):
+    """A rule or target list has no broadcast hint: where Spark may not broadcast, it does not."""
+    refs = spark.createDataFrame([("r", "A", "1.0", "2.0")], "repo_id string, package string, old_version string, new_version string")
+    entry = {"id": "m", "package_name": "a", "version_conditions": [{"type": "greater_than", "version": "1.0"}], "rules": []}
+    hits = lambda: formatted(rules.applicable(refs, rules.migrations_table(spark, [entry])))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "BroadcastHashJoin" not in formatted(spark.range(10).join(small(big), "id"))
+        assert "Broadcast" not in hits()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_conditions_are_tried_once_for_each_different_move(spark):
+    """A package with many references and many rules: the rows that meet rules are different moves, not references."""
+    moves = spark.range(2000).select(
+        F.concat(F.lit("r"), "id").alias("repo_id"), F.lit("Hot").alias("package"),
+        F.concat(F.lit("1."), (F.col("id") % 5).cast("string")).alias("old_version"), F.lit("2.0").alias("new_version"),
+    )
+    catalogue = rules.migrations_table(
+        spark,
+        [{"id": f"m{i}", "package_name": "hot", "version_conditions": [{"type": "exact", "version": f"{i % 100}.0"}], "rules": []} for i in range(300)],
+    )
+    found = rules.applicable(moves, catalogue)
+    assert found.count() == 2000 * 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    met = plan[plan.index("exists") :]
+    assert "Aggregate" in met[: met.index("LogicalRDD") if "LogicalRDD" in met else len(met)]
+
+
 def test_only_very_small_tables_are_spread(spark, files):
     assert exchanges(formatted(spread(files, "path")))
     assert not exchanges(formatted(spread(spark.range(200_000_000), "id")))

@@ -96,3 +96,16 @@ def test_decisions(spark, old, new, allow, expected):
     df = spark.createDataFrame([(old, new)], "o string, n string")
     d = upgrade_decision(F.col("o"), F.col("n"), version_key("o"), version_key("n"), allow)
     assert df.select(d.alias("d")).first().d == expected
+
+
+def test_numbers_of_any_length_that_is_read(spark):
+    lengths = [1, 19, 20, 21, 299, 300, 301, 302, 303, 3000, 4299, 4300]
+    numbers = [d * n for n in lengths for d in ("1", "2")] + ["0" * 50 + "3" * 301]
+    versions = [f"{n}.0" for n in numbers] + [f"1.{n}" for n in numbers] + [f"1.0rc{n}" for n in numbers] + [f"1.0+{n}" for n in numbers]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(versions)], "i int, v string")
+    keys = [r.k for r in df.withColumn("k", version_key("v")).orderBy("i").collect()]
+    for part in range(4):
+        own = keys[part * len(numbers) : (part + 1) * len(numbers)]
+        assert sorted(range(len(numbers)), key=lambda i: own[i]) == sorted(range(len(numbers)), key=lambda i: int(numbers[i]))
+    too_long = spark.createDataFrame([("1" * 4301,), ("1." + "0" * 4301,), ("x" * 5000,)], "v string")
+    assert [r.k for r in too_long.select(version_key("v").alias("k")).collect()] == [None, None, None]
