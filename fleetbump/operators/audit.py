@@ -86,18 +86,26 @@ def burst_runs(
     rows = _bucketed(log, bucket_seconds)
     by_row = Window.partitionBy("key", "_bucket").orderBy("_us", "request_id")
     gap_us = int(gap_seconds * 1_000_000)
-    previous = F.coalesce(F.lag("_us").over(by_row), F.col("_carry"))
-    starts = F.coalesce(F.col("_us") - previous >= gap_us, F.lit(True)).cast("int")
-    flagged = rows.join(_last_before(rows), ["key", "_bucket"]).withColumn("_start", starts)
-    local = flagged.withColumn("_run", F.sum("_start").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
-    # Number of runs begun in earlier buckets, from one row per bucket.
-    begun = local.groupBy("key", "_bucket").agg(F.sum("_start").alias("_begun"))
-    before = Window.partitionBy("key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = begun.select("key", "_bucket", F.coalesce(F.sum("_begun").over(before), F.lit(0)).alias("_offset"))
+    # Runs of a bucket by itself, the first one being 0; whether that one goes on from before is seen below.
+    apart = F.coalesce(F.col("_us") - F.lag("_us").over(by_row) >= gap_us, F.lit(False)).cast("int")
+    local = rows.withColumn("_apart", apart).withColumn(
+        "_run", F.sum("_apart").over(by_row.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    pieces = local.groupBy("key", "_bucket", "_run").agg(
+        F.count(F.lit(1)).alias("requests"), F.min("_us").alias("first_us"), F.max("_us").alias("last_us")
+    )
+    # One row per bucket: its ends and how many runs begin in it.
+    ends = pieces.groupBy("key", "_bucket").agg(
+        F.min("first_us").alias("_first"), F.max("last_us").alias("_last"), F.max("_run").alias("_more")
+    )
+    in_order = Window.partitionBy("key").orderBy("_bucket")
+    begins = F.coalesce(F.col("_first") - F.lag("_last").over(in_order) >= gap_us, F.lit(True)).cast("int")
+    earlier = F.coalesce(F.sum(F.col("_begins") + F.col("_more")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ends.withColumn("_begins", begins).select("key", "_bucket", (earlier + F.col("_begins")).alias("_offset"))
     return (
-        local.join(offsets, ["key", "_bucket"])
+        pieces.join(offsets, ["key", "_bucket"])
         .groupBy("key", (F.col("_run") + F.col("_offset")).alias("run"))
-        .agg(F.count(F.lit(1)).alias("requests"), F.min("_us").alias("first_us"), F.max("_us").alias("last_us"))
+        .agg(F.sum("requests").alias("requests"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
         .withColumn("bursts", F.floor((F.col("requests") - 1) / burst_limit))
     )
 

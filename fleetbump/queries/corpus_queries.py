@@ -328,6 +328,69 @@ def previewed_changes(spark, sf):
     return corpus.preview_changes(code_files(spark, sf), [RENAME, REMOVE]).drop("repo_id")
 
 
+def _body(*lines: str) -> str:
+    inner = "".join(f"        {line}\n" if not line.startswith("#") else f"{line}\n" for line in lines)
+    return "class A{id}\n{\n    void M(IBuilder b)\n    {\n        Begin();\n" + inner + "        /* {text} */\n    }\n}\n"
+
+
+# Pairs of a body before and after the three rules, one for each sixth of the documents.
+TEMPLATES = [
+    (
+        _body("b.Start({n})", '    .OldCall("{lang}")', "    .Finish();", "b.OldCall().OldCall({n}).End();"),
+        _body("b.Start({n})", "    .Finish();", "b.End();"),
+    ),
+    (
+        _body('var x{n} = Make("{lang}").OldCall();', "return Wrap(x{n}.OldCall(), {n});"),
+        _body('var x{n} = Make("{lang}");', "return Wrap(x{n}, {n});"),
+    ),
+    (
+        _body('Renamed<List<int>>(Renamed({n}), "Renamed({lang})");', "// Renamed(1)", "b.Renamed2();", "b?.renamed( 1 );"),
+        _body('Fresh<List<int>>(Fresh({n}), "Renamed({lang})");', "// Renamed(1)", "b.Renamed2();", "b?.Fresh( 1 );"),
+    ),
+    (
+        _body(
+            "b.AddScan(scanFlag);", 'b.AddScan({n}, scanFlag, mode: "{lang}");', "b.AddScan(scanFlag, {n});",
+            "b.AddScan(flag: scanFlag, n: {n});", "b.Other(scanFlag);",
+        ),
+        _body(
+            "b.AddScan();", 'b.AddScan({n}, mode: "{lang}");', "b.AddScan(scanFlag, {n});", "b.AddScan(n: {n});", "b.Other(scanFlag);"
+        ),
+    ),
+    (
+        _body("#if DEBUG_{lang}", "OldCall({n});", "#endif", "Keep();", "x.y.OldCall();", "", "// about the call", "OldCall();", "Keep();"),
+        _body("#if DEBUG_{lang}", "#endif", "Keep();", "Keep();"),
+    ),
+    (
+        _body(
+            'b.OldCall(i => { i.Go({n}); return "a)"; }).Next(z => z.Renamed("{lang}"));', "if (ready) { OldCall(); Keep(); }", "b?.OldCall();"
+        ),
+        _body('b.Next(z => z.Fresh("{lang}"));', "if (ready) { Keep(); }", "b?.OldCall();"),
+    ),
+]
+
+
+def _template_sql(place: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN {_sql_text(pair[place])}" for i, pair in enumerate(TEMPLATES))
+    return f"CASE doc_id % {len(TEMPLATES)} {cases} END"
+
+
+@query(
+    "rewritten_templates",
+    f"SELECT {_PATH} AS path, md5({_template_sql(1)}) AS content_md5, doc_id % {len(TEMPLATES)} AS template FROM documents",
+)
+def rewritten_templates(spark, sf):
+    documents = s.table(spark, sf, "documents")
+    files = None
+    for i, (before, _) in enumerate(TEMPLATES):
+        own = _files_of(documents.filter(F.col("doc_id") % len(TEMPLATES) == i), before)
+        files = own if files is None else files.unionByName(own)
+    done = corpus.apply_rules(files, [DROP, REMOVE, RENAME])
+    number = F.regexp_extract("path", r"D(\d+)", 1).cast("bigint")
+    return done.select(
+        "path", F.md5(F.col("content").cast("binary")).alias("content_md5"), (number % len(TEMPLATES)).alias("template")
+    )
+
+
 # Types inside, beside and after each other; {text} stands inside the innermost but one.
 NESTED = """using System;
 namespace N{id}
