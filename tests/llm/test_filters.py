@@ -47,6 +47,44 @@ def test_toxicity_catches_hidden_insults_and_leaves_clean_texts(spark, texts):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_in_every_language(spark):
+    from fleetbump.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    found = queries.QUERIES["op5_toxicity"](spark, folder).where("held_out").join(labels, "doc_id").join(docs, "doc_id")
+    caught, toxic = {}, {}
+    for r in found.where("toxic = 1").groupBy("lang").agg({"predicted": "sum", "*": "count"}).collect():
+        caught[r.lang], toxic[r.lang] = r["sum(predicted)"], r["count(1)"]
+    assert set(toxic) == {"de", "en", "es", "fr"}
+    assert all(caught[lang] >= 0.75 * toxic[lang] for lang in toxic)
+    assert sum(caught.values()) >= 0.88 * sum(toxic.values())
+    clean = found.where("toxic = 0").agg({"predicted": "avg"}).first()[0]
+    assert clean < 0.005
+
+
+def test_toxicity_on_odd_tables(spark, texts):
+    rows = [(i, f"{texts[i % 60]} {'scum ' * (i % 2)}", i % 2) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, rows[0][1]), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    again = toxicity.train(docs.repartition(5), labels.repartition(3))
+    assert model.landmarks == again.landmarks
+    plain = sorted(map(tuple, toxicity.score(docs, model).collect()), key=str)
+    named = docs.selectExpr("*", "'x' AS score", "'x' AS toxic", "'x' AS predicted", "'x' AS unit", "'x' AS near")
+    assert sorted(map(tuple, toxicity.score(named, toxicity.train(named, labels)).collect()), key=str) == plain
+    assert len(plain) == 202
+    for nothing in (docs.limit(0), docs.where("doc_id IS NULL")):
+        scores = toxicity.score(nothing, toxicity.train(nothing, labels)).collect()
+        assert len(scores) == nothing.count() and all(0 <= r.score <= 1 for r in scores)
+    # Of equal texts the label of the smallest id counts.
+    same = spark.createDataFrame([(i, f"{texts[i % 60]} scum") for i in range(60)] + [(100 + i, f"{texts[i % 60]} scum") for i in range(60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(60)], "doc_id long, toxic int")
+    kept = toxicity._sample(same, marks, toxicity.Settings()).collect()
+    assert all(r.toxic == 1 for r in kept if r.doc_id < 100) and len({r.text for r in kept}) == len(kept)
+
+
 def test_string_kernel_equals_its_definition():
     def brute(s, t, order, decay):
         def spans(x):
