@@ -1,7 +1,6 @@
 """Quality filter: an interpolated modified Kneser-Ney trigram model of trusted text (operator 2).
 
-The model is trained on at most ``trusted`` documents labelled as good (a documented bound; the choice is by hash of the
-id). A text is two start marks, its lower-cased words and an end. Probabilities are interpolated over three orders with
+The model is trained on every document labelled as good, but for the fifth that is kept to measure by. A text is two start marks, its lower-cased words and an end. Probabilities are interpolated over three orders with
 three discounts each (Chen and Goodman 1999).
 
 In back-off form the log probability of a text is a plain sum over its n-grams: with ``bo(h) = log lambda(h)``,
@@ -11,8 +10,8 @@ In back-off form the log probability of a text is a plain sum over its n-grams:
 - a known trigram adds ``log P(w|uv) - bo(uv) - log P(w|v)``.
 
 So the model is one table ``n-gram hash, value``, and scoring is a join of the texts' n-grams with it, sharded by hash,
-and a sum per text. The ``table`` most frequent n-grams, a fixed number, are looked up in the scan; of all others only
-those that a bitmap of the model may hold are joined.
+and a sum per text. The most frequent n-grams, at most ``table``, are looked up in the scan; of all others only those that a
+bitmap of the model may hold are joined. Tasks make the bitmap; the driver gets these two, of fixed size, and no model.
 
 A document stays if its perplexity is at most the ``quantile`` of trusted documents of its language; languages without
 such take the quantile of all of them. Quantiles cover every trusted document of the fifth that is kept from training.
@@ -39,7 +38,6 @@ _START, _END = _U(0x5354415254), _U(0x454E44)
 
 @dataclass(frozen=True)
 class Settings:
-    trusted: int = 4000
     table: int = 400_000
     quantile: float = 0.97
     bitmap_bits: int = 26
@@ -105,10 +103,10 @@ def _trusted(labels: DataFrame) -> DataFrame:
     return good.select(F.col("doc_id").cast("long").alias("id")).distinct()
 
 
-def train(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[DataFrame, float, float] | None:
+def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float] | None:
     """(table of n-gram, value, n; value of an unknown word; sum that every text begins with); None without text."""
-    ids = _trusted(labels).where(~measured(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(s.trusted)
-    texts = docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("id"), "left_semi").select("text")
+    ids = _trusted(labels).where(~measured(F.col("id")))
+    texts = docs.join(ids, F.col("doc_id").cast("long") == F.col("id"), "left_semi").select("text")
     tri = texts.mapInArrow(_count, "uvw long, uv long, vw long, v long, w long, n long")
     tri = tri.groupBy("uvw", "uv", "vw", "v", "w").agg(F.sum("n").alias("n"))
     tri = written(tri, "trigrams")
@@ -150,6 +148,31 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[DataFrame, f
     return model, float(np.log10(unknown)), float(begin)
 
 
+def _frequent(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams and their values of those seen most often: all down to the count at which they are still ``most``."""
+    # There are far fewer different counts than n-grams: their sum is at most three times the words.
+    sizes = model.groupBy("seen").agg(F.count("*").alias("size")).toArrow()
+    seen, size = (sizes.column(c).to_numpy() for c in ("seen", "size"))
+    order = np.argsort(-seen)
+    fit = np.flatnonzero(np.cumsum(size[order]) <= most)
+    if not len(fit):
+        return np.zeros(0, _U), np.zeros(0)
+    top = model.where(F.col("seen") >= int(seen[order[fit[-1]]])).select("ngram", "value").toArrow()
+    keys, values = top.column("ngram").to_numpy().view(_U), top.column("value").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _bitmap(model: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the model's n-grams by their leading ``bits`` bits, in words of 64 made by an aggregate."""
+    slot = F.shiftrightunsigned("ngram", 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    words = model.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(max(1 << bits >> 6, 1), dtype=_U)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(_U)
+    return out
+
+
 def _scanner(known: np.ndarray, values: np.ndarray, bits: np.ndarray, shift: int):
     def scan(batches):
         for batch in batches:
@@ -160,7 +183,7 @@ def _scanner(known: np.ndarray, values: np.ndarray, bits: np.ndarray, shift: int
                 rare_rows, rare = [], []
                 for ngrams in (uni, vw, uvw):
                     slot = (ngrams >> _U(shift)).astype(np.int64)
-                    maybe = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                    maybe = (bits[slot >> 6] >> (slot & 63).astype(_U)) & _U(1) == 1
                     own, mine = ngrams[maybe], rows[maybe]
                     listed = np.zeros(len(own), dtype=bool)
                     if len(known):
@@ -190,22 +213,16 @@ def perplexities(docs: DataFrame, labels: DataFrame, settings: Settings = Settin
     """One row per row of ``docs``: doc_id, lang, n_tokens, log10_prob, perplexity (null without trusted text)."""
     s = settings
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    trained = train(docs, labels, s)
+    trained = train(docs, labels)
     if trained is None:
         none = F.lit(None).cast("double")
         return slim.select("doc_id", "lang", F.lit(None).cast("long").alias("n_tokens"), none.alias("log10_prob"), none.alias("perplexity"))
     model, unknown, begin = trained
-    top = model.orderBy(F.desc("seen"), "ngram").limit(s.table).select("ngram", "value").toPandas()
-    top["key"] = top["ngram"].to_numpy(dtype=np.int64).view(_U)
-    top = top.sort_values("key")
-    # The model has at most three n-grams for each word of the trusted sample.
-    ngrams = model.select("ngram").toPandas()["ngram"].to_numpy(dtype=np.int64).view(_U)
-    shift = 64 - s.bitmap_bits
-    flags = np.zeros(1 << s.bitmap_bits, dtype=bool)
-    flags[(ngrams >> _U(shift)).astype(np.int64)] = True
-    bits = np.packbits(flags, bitorder="little")
+    # At most ``table`` n-grams and a bitmap of a fixed size come to the driver.
+    known, values = _frequent(model, s.table)
+    bits = _bitmap(model, s.bitmap_bits)
     scanned = slim.mapInArrow(
-        _scanner(top["key"].to_numpy(dtype=_U), top["value"].to_numpy(), bits, shift),
+        _scanner(known, values, bits, 64 - s.bitmap_bits),
         "doc_id long, lang string, n_tokens long, listed double, rare array<long>",
     )
     scanned = written(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")

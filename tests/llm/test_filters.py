@@ -159,6 +159,18 @@ def test_perplexity_equals_brute_force(spark):
             assert r.n_tokens == len(text.split()) + 1
 
 
+def test_model_counts_every_trusted_document(spark):
+    docs = spark.range(6000).selectExpr("id doc_id", "concat('w', id) text", "'en' lang")
+    labels = docs.selectExpr("doc_id", "1 quality")
+    trained = docs.where(~perplexity.measured("doc_id")).count()
+    model, _, _ = perplexity.train(docs, labels)
+    # A word, a bigram with each end and two trigrams for each text; the end and its like are shared.
+    assert model.count() == 5 * trained + 1 and trained > 4000
+    keys, values = perplexity._frequent(model, 10)
+    assert len(keys) == len(values) == 1
+    assert not len(perplexity._frequent(model, 0)[0])
+
+
 def test_quality_filter_keeps_clean_documents(spark, documents, texts, nothing):
     labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
     found = perplexity.classify(documents, labels)
