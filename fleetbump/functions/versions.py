@@ -6,8 +6,8 @@ that do not parse give null.
 
 Layout of a key: ``epoch!release <pre><post><dev>+local``. Numbers are padded to one width; release
 parts lose trailing zeros and end at a blank, which sorts before the next part of a longer release.
-The expression is one chain of replacements, each reading the one before once, so it costs the same
-inside generated code and inside array functions.
+The grammar is matched once and gives all its groups; the key is put together from them without further patterns, and
+plain dotted numbers need no grammar.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetbump.functions.patterns import let
+
 _MARK = "\u0001"
 _WIDTH = 20
 _WIDE = 300
@@ -29,68 +31,84 @@ _GRAMMAR = (
     r"(?:[-_.]?(dev)[-_.]?(\d*))?"
     r"(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
 )
-_NORMAL = _MARK + "$1!$2 <$3:$4><$5:$6:$7><$8:$9>+$10"
-
-# Ranks are chosen so that text order is version order. Pre: development only 0, then a, b, rc, and 9
-# for none. Post: 0 none, 1 with a number. Dev: 0 with a number, 1 none.
-_RANKS = (
-    (_MARK + "!", _MARK + "0!"),
-    (r"(?:\.0+)+ <", " <"),
-    (r"!0+ <", "! <"),
-    (r"<(?:alpha|a):", "<1:"),
-    (r"<(?:beta|b):", "<2:"),
-    (r"<(?:preview|pre|rc|c):", "<3:"),
-    (r"<:>(?=<::><dev)", "<0>"),
-    (r"<:>(?=<)", "<9>"),
-    (r"<::>", "<0>"),
-    (r"<(?:(\d+)::|:(?:post|rev|r):(\d*))>", "<1:$1$2>"),
-    (r"<:>(?=\+)", "<1>"),
-    (r"<dev:", "<0:"),
-    (r":>", ":0>"),
-    # Local part: one separator; a part that is a number sorts after any text.
-    (r"[-_]", "."),
-    (r"(?<=[+.])(\d+)(?=\.[^ ]*$|$)", "|$1"),
-)
-# Numbers on their own are padded; digits inside a local text part are left alone. A number longer
-# than the width is padded further and marked, which sorts it after all shorter ones; so again, with two marks.
-_ALONE = r"(?<![a-z\d}])"
-_PADDING = (
-    (_ALONE + r"0*([1-9]\d{%d,})(?![a-z\d])" % _WIDE, "}}" + "0" * _WIDEST + "$1"),
-    (r"\}\}\d*(\d{%d})(?!\d)" % _WIDEST, "}}$1"),
-    (_ALONE + r"0*([1-9]\d{%d,})(?![a-z\d])" % _WIDTH, "}" + "0" * _WIDE + "$1"),
-    (r"(?<!\})\}\d*(\d{%d})(?!\d)" % _WIDE, "}$1"),
-    (_ALONE + r"(\d+)(?![a-z\d])", "0" * _WIDTH + "$1"),
-    (_ALONE + r"\d*(\d{%d})(?![a-z\d])" % _WIDTH, "$1"),
-)
-# Most versions are plain dotted numbers: a short cut to the same key.
-_PLAIN = r"^\d{1,%d}(?:\.\d{1,%d})*$" % (_WIDTH, _WIDTH)
-_PLAIN_STEPS = (
-    (r"(?:\.0+)+$|^0+(?:\.0+)*$", ""),
-    (r"(\d+)", "0" * _WIDTH + "$1"),
-    (r"\d*(\d{%d})(?!\d)" % _WIDTH, "$1"),
-)
-
+# The groups one after the other, and what is left behind the version, if anything.
+_GROUPS = "".join(f"{_MARK}${i}" for i in range(1, 11)) + _MARK
 
-def _chain(text: Column, steps) -> Column:
-    for pattern, replacement in steps:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+# Most versions are plain dotted numbers: a short cut to the same key.
+_PLAIN = r"^\d{1,%d}(?:\.\d{1,%d})*\z" % (_WIDTH, _WIDTH)
+_TRAILING_ZEROS = r"(?:\.0+)+$|^0+(?:\.0+)*$"
 
 
 def _padded(digits: str) -> str:
     return digits.zfill(_WIDTH)
 
 
+def _number(digits: Column) -> Column:
+    """A number of one width. One that is longer is padded further and marked, which sorts it after all shorter ones; so
+    again, with two marks."""
+    significant = F.ltrim(digits, F.lit("0"))
+    long = F.when(F.length(significant) <= _WIDE, F.concat(F.lit("}"), F.lpad(significant, _WIDE, "0"))).otherwise(
+        F.concat(F.lit("}}"), F.lpad(significant, _WIDEST, "0"))
+    )
+    short = F.length(digits) <= _WIDTH
+    return F.when(short, F.lpad(digits, _WIDTH, "0")).when(F.length(significant) <= _WIDTH, F.lpad(significant, _WIDTH, "0")).otherwise(long)
+
+
+def _release(dotted: Column, number) -> Column:
+    """Release parts without the trailing ones that are zero; nothing where all are."""
+    kept = F.regexp_replace(dotted, _TRAILING_ZEROS, "")
+    return F.when(kept == "", F.lit("")).otherwise(F.array_join(F.transform(F.split(kept, r"\."), number), "."))
+
+
+def _part(rank: str, digits: Column | None = None) -> Column:
+    """One of pre, post and dev. Ranks are chosen so that text order is version order."""
+    if digits is None:
+        return F.lit(f"<{_padded(rank)}>")
+    return F.concat(F.lit(f"<{_padded(rank)}:"), _number(digits), F.lit(">"))
+
+
+def _of_groups(g: Column) -> Column:
+    epoch, release, pre, pre_no, post_only, post, post_no, dev, dev_no, local, rest = (g[i] for i in range(1, 12))
+    # Pre: development only 0, then a, b, rc, and 9 for none. Post: 0 none, 1 with a number. Dev: 0 with a number, 1 none.
+    before = (
+        F.when(pre.isin("alpha", "a"), _part("1", pre_no))
+        .when(pre.isin("beta", "b"), _part("2", pre_no))
+        .when(pre != "", _part("3", pre_no))
+        .when((post_only == "") & (post == "") & (dev != ""), _part("0"))
+        .otherwise(_part("9"))
+    )
+    after = F.when(post_only != "", _part("1", post_only)).when(post != "", _part("1", post_no)).otherwise(_part("0"))
+    # Local part: one separator; a part that is a number sorts after any text, digits inside a text are left alone.
+    named = F.transform(
+        F.split(F.translate(local, "-_", ".."), r"\."),
+        lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("|"), _number(p))).otherwise(p),
+    )
+    return F.concat(
+        _number(epoch),
+        F.lit("!"),
+        _release(release, _number),
+        F.lit(" "),
+        before,
+        after,
+        F.when(dev != "", _part("0", dev_no)).otherwise(_part("1")),
+        F.lit("+"),
+        F.when(local == "", F.lit("")).otherwise(F.array_join(named, ".")),
+        rest,
+    )
+
+
 def version_key(version: Column | str) -> Column:
     text = F.col(version) if isinstance(version, str) else version
     plain = F.concat(
         F.lit(_padded("0") + "!"),
-        _chain(text, _PLAIN_STEPS),
+        _release(text, lambda p: F.lpad(p, _WIDTH, "0")),
         F.lit(f" <{_padded('9')}><{_padded('0')}><{_padded('1')}>+"),
     )
-    normal = F.regexp_replace(F.replace(F.lower(text), F.lit(_MARK), F.lit("?")), _GRAMMAR, _NORMAL)
-    # Only a version that parsed begins with the mark; for others there is no second piece.
-    general = F.get(F.split(_chain(normal, _RANKS + _PADDING), _MARK), F.lit(1))
+    groups = F.split(
+        F.regexp_replace(F.replace(F.lower(text), F.lit(_MARK), F.lit("?")), _GRAMMAR, _GROUPS), _MARK
+    )
+    # Only a version that parsed has marks; for others there is a single piece.
+    general = let(groups, lambda g: F.when(F.size(g) > 1, _of_groups(g)))
     # The length is asked first, so the pattern runs on next to nothing.
     readable = (F.length(text) <= _WIDEST) | ~text.rlike(r"(?i)(?<![a-z\d])\d{%d}" % (_WIDEST + 1))
     return F.when(text.rlike(_PLAIN), plain).when(readable, general)
@@ -161,7 +179,11 @@ _CONDITIONS_TYPE = "array<struct<type:string,version:string,max_version:string>>
 
 def crosses(usable: Column, old_key: Column, new_key: Column) -> Column:
     """Does the move old -> new meet any of the usable conditions? Unparsed versions: no."""
+    # Each key is worked out once, however many conditions there are.
+    return let(F.struct(old_key.alias("old"), new_key.alias("new")), lambda m: _crosses(usable, m["old"], m["new"]))
+
 
+def _crosses(usable: Column, old_key: Column, new_key: Column) -> Column:
     def holds(c: Column) -> Column:
         return (
             F.when(c["type"] == "greater_than", (new_key > c["low"]) & (old_key <= c["low"]))

@@ -16,7 +16,9 @@ from fleetbump.queries.registry import query
        FROM package_refs WHERE key IS NOT NULL GROUP BY package, repo_id""",
 )
 def version_order(spark, sf):
-    keyed = s.package_refs(spark, sf).withColumn("key", version_key("version")).filter(F.col("key").isNotNull())
+    # A version of a repository is read once; a list of one key or none keeps its test from reading it again.
+    different = s.package_refs(spark, sf).select("package", "repo_id", "version").distinct()
+    keyed = different.select("package", "repo_id", "version", F.explode(F.array_compact(F.array(version_key("version")))).alias("key"))
     place = F.struct("key", "version")
     return keyed.groupBy("package", "repo_id").agg(
         F.min(place)["version"].alias("oldest"),
@@ -30,8 +32,9 @@ def version_order(spark, sf):
     "SELECT version, count(*) AS n FROM package_refs WHERE key IS NULL GROUP BY version",
 )
 def unreadable_versions(spark, sf):
-    refs = s.package_refs(spark, sf)
-    return refs.filter(version_key("version").isNull()).groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+    counted = s.package_refs(spark, sf).groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+    # A test that reads the count stays behind the grouping, so each version is read once.
+    return counted.filter(F.when(version_key("version").isNull(), F.col("n")).isNotNull())
 
 
 @query(
@@ -42,16 +45,19 @@ def unreadable_versions(spark, sf):
 )
 def version_comparisons(spark, sf):
     new = F.lit("25.4.0")
-    return (
-        s.package_refs(spark, sf)
-        .groupBy("repo_id")
-        .agg(
-            F.count_if(version_lt("version", new)).alias("older"),
-            F.count_if(version_le("version", new)).alias("not_newer"),
-            F.count_if(version_eq("version", new)).alias("same"),
-            F.count_if(version_key("version").isNull()).alias("unreadable"),
-        )
+    refs = s.package_refs(spark, sf)
+    # Each different version is compared once; what holds is joined back to the counts of its rows.
+    compared = refs.select(F.col("version").alias("of")).distinct().select(
+        "of",
+        version_lt("of", new).alias("older"),
+        version_le("of", new).alias("not_newer"),
+        version_eq("of", new).alias("same"),
+        version_key("of").isNull().alias("unreadable"),
     )
+    counted = refs.groupBy("repo_id", "version").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.join(compared, F.col("version").eqNullSafe(F.col("of")))
+    tests = ("older", "not_newer", "same", "unreadable")
+    return found.groupBy("repo_id").agg(*[F.sum(F.when(F.col(c), F.col("n")).otherwise(F.lit(0))).alias(c) for c in tests])
 
 
 @query(
@@ -144,10 +150,10 @@ def version_conditions(spark, sf):
         ]
     )
     hit = crosses(usable, version_key("version"), version_key(F.lit(s.TARGETS[0].version)))
-    return (
-        s.package_refs(spark, sf)
-        .groupBy(F.col("version").alias("old_version"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("crossing"))
+    # A version is tested once, not once for each reference to it.
+    counted = s.package_refs(spark, sf).groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(
+        F.col("version").alias("old_version"), "n", F.when(hit, F.col("n")).otherwise(F.lit(0)).alias("crossing")
     )
 
 

@@ -98,6 +98,13 @@ def test_decisions(spark, old, new, allow, expected):
     assert df.select(d.alias("d")).first().d == expected
 
 
+def test_a_version_is_read_with_few_patterns(spark):
+    df = spark.createDataFrame([("1.0-rc.1",)], "v string")
+    plan = df.select(version_key("v"))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("regexp_replace(") + plan.count("rlike") <= 10
+    assert df.select(version_key(F.lit("1.0\n")) == version_key(F.lit("1.0"))).first()[0]
+
+
 def test_numbers_of_any_length_that_is_read(spark):
     lengths = [1, 19, 20, 21, 299, 300, 301, 302, 303, 3000, 4299, 4300]
     numbers = [d * n for n in lengths for d in ("1", "2")] + ["0" * 50 + "3" * 301]
