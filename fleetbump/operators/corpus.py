@@ -125,6 +125,7 @@ _KINDS = {
 
 
 _ANY_NAME = "*"  # no C# name
+_SHARES = 32  # Fixed value: rows of one kind and name, or of any name, are dealt to as many joins
 
 
 def _given(c: Column) -> Column:
@@ -183,11 +184,15 @@ def rule_hits(inventory: DataFrame, nodes: DataFrame, declarations: bool) -> Dat
     Type and namespace demands are not checked for calls: text alone cannot tell.
     """
     rows = inventory if declarations else inventory.withColumn("kind", F.lit("call")).withColumn("name", F.col("method"))
-    # A row is looked up under its own name and under the sign for "any", so the inventory runs once.
-    keyed = rows.withColumn("_kind", F.col("kind")).withColumn(
-        "_name", F.explode(F.array(F.lower("name"), F.lit(_ANY_NAME)))
+    # A row is looked up under its own name and under the sign for "any", so the inventory runs once. Half of all these rows
+    # have the sign, so rows are dealt into shares, each of which meets the same nodes.
+    keyed = (
+        rows.withColumn("_kind", F.col("kind"))
+        .withColumn("_share", F.pmod(F.xxhash64(*rows.columns), F.lit(_SHARES)).cast("int"))
+        .withColumn("_name", F.explode(F.array(F.lower("name"), F.lit(_ANY_NAME))))
     )
-    hits = keyed.join(_targets(nodes), ["_kind", "_name"])
+    shares = F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1)))
+    hits = keyed.join(_targets(nodes).withColumn("_share", shares), ["_kind", "_name", "_share"]).drop("_share")
     if declarations:
         hits = hits.filter(_declaration_matches())
     return hits.drop("_kind", "_name", "_class", "_attributes", "_parameters")
