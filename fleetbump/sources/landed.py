@@ -7,10 +7,10 @@ import json
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fleetbump import schemas
 from fleetbump.functions.patterns import decode_base64, strip
+from fleetbump.operators.ranking import number_rows, range_chunks
 from fleetbump.operators.rules import last_definitions, migrations_table
 
 
@@ -92,9 +92,12 @@ def read_migrations(spark: SparkSession, path: str, last_only: bool = True) -> D
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return migrations_table(spark, [])
     documents = spark.read.schema(schemas.CATALOGUE_FILE).option("multiLine", "true").json(path)
-    # Rule files are configuration, one row each: they are numbered by name in one task.
-    file = F.row_number().over(Window.orderBy("_metadata.file_path")) - 1
-    entries = entries_of(documents.select("migrations", file.cast("long").alias("file")))
+    # Files are numbered by name, in ranges of names, without their contents; a file is one document.
+    names = documents.select(F.col("_metadata.file_path").alias("name")).distinct()
+    numbered = number_rows(range_chunks(names, [], ["name"]), [], [F.col("name")], F.col("_range"), "file")
+    numbered = numbered.select("name", (F.col("file") - 1).cast("long").alias("file"))
+    placed = documents.select("migrations", F.col("_metadata.file_path").alias("name")).join(numbered, "name")
+    entries = entries_of(placed.drop("name"))
     return last_definitions(entries) if last_only else entries
 
 
