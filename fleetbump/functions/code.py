@@ -95,7 +95,7 @@ def mark_calls(content: Column) -> Column:
 
 
 def unmark(marked: Column) -> Column:
-    plain = F.translate(marked, OPEN + CLOSE, "")
+    plain = F.replace(F.replace(marked, F.lit(OPEN), F.lit("")), F.lit(CLOSE), F.lit(""))
     for mark, pair in _HELD.items():
         plain = F.replace(plain, F.lit(pair), F.lit(mark))
     return F.replace(plain, F.lit(_SIGN_HELD), F.lit(_SIGN))
@@ -129,17 +129,19 @@ def _name(method: str | None) -> str:
 def calls(marked: Column) -> Column:
     """Calls in order: array<struct<line, before, text>>.
 
-    ``text`` runs from the name over its arguments to a following dot; ``before`` is what stands
-    between the previous call's name and this one.
+    ``text`` runs from the name over its arguments to a following dot; ``before`` is the end of what
+    stands between the previous call's name and this one, as far as a receiver can reach.
     """
     text = F.regexp_extract_all(
         marked, F.lit(rf"{OPEN}(?=([^{CLOSE}]++{CLOSE}\s*+(?:{GENERIC})?+\s*+(?:{ARGUMENTS})?+(?:\s*+\??\.)?+))"), F.lit(1)
     )
     pieces = F.split(marked, OPEN)
-    per_line = F.transform(F.split(marked, "\n"), lambda t: F.length(t) - F.length(F.translate(t, OPEN, "")))
+    per_line = F.transform(F.split(marked, "\n"), lambda t: F.length(t) - F.length(F.replace(t, F.lit(OPEN), F.lit(""))))
     lines = F.flatten(F.transform(per_line, lambda n, i: F.array_repeat(i + 1, n)))
+    # Receivers are read backwards from the name: names, dots and white space, and one sign before them.
+    near = F.transform(pieces, lambda p: F.regexp_replace(p, r"(?s)\A.*(?=[^\p{L}\p{Nd}_\s?.\x{85}\x{2028}\x{2029}])", ""))
     return F.transform(
-        F.arrays_zip(text.alias("text"), F.slice(pieces, F.lit(1), F.size(text)).alias("before"), lines.alias("line")),
+        F.arrays_zip(text.alias("text"), F.slice(near, F.lit(1), F.size(text)).alias("before"), lines.alias("line")),
         lambda c: F.struct(c["line"].alias("line"), c["before"].alias("before"), c["text"].alias("text")),
     )
 

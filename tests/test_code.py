@@ -332,3 +332,12 @@ def test_preview_finds_lost_lines_that_stand_elsewhere_too(spark):
         (5, "two", "        s.Next();", ""),
     ]
     assert corpus.preview_changes(df, []).count() == 0
+
+
+def test_what_stands_before_a_call_is_cut_to_its_receiver(spark):
+    text = "class A { void M() { /* " + "some words, and " * 500 + "*/ a.b\n  .Go(1); x?.Run(); } }"
+    df = spark.createDataFrame([(text,)], "content string")
+    found = df.select(F.explode(code.calls(code.mark_calls(F.col("content")))).alias("c"))
+    rows = found.select("c.before", *code.call_fields(F.col("c"))).collect()
+    assert [(r.receiver, r.method, r.line) for r in rows] == [("a.b", "Go", 2), ("x", "Run", 2)]
+    assert max(len(r.before) for r in rows) < 20
