@@ -114,7 +114,7 @@ def _until_stable(text: Column, step, most: Column) -> Column:
 
 def code_only(content: Column) -> Column:
     """Content without comments and with empty strings."""
-    return F.regexp_replace(content, f"{_STRING}|{_COMMENT}", " ")
+    return F.regexp_replace(content, rf"(?=[\"'$@/])(?:{_STRING}|{_COMMENT})", " ")
 
 
 def skipped_tokens(content: Column) -> Column:
@@ -303,15 +303,17 @@ _MODS = rf"(?:{_words(_MODIFIERS)}\s++)"
 _PARAMS = r"[^()]*+(?:\([^()]*+\)[^()]*+)*+"
 _NOT_TYPES = [*_BEFORE_CALL, *_MODIFIERS, *_NOT_CALLS, "class", "struct", "interface", "record", "enum", "event", "namespace"]
 
+# What a declaration can start with is looked at first: at most characters nothing else of a pattern is tried.
+_FIRST = "".join(sorted({m[0] for m in _MODIFIERS}))
 # A record is no class here, also where its header says "record class".
-CLASS_HEADER = rf"({_ATTRIBUTES}{_MODS}*+(?<!{_W})(?<!record\s{{1,9}})class{_END}\s++{ID})"
+CLASS_HEADER = rf"((?=[\[c{_FIRST}]){_ATTRIBUTES}{_MODS}*+(?<!{_W})(?<!record\s{{1,9}})class{_END}\s++{ID})"
 METHOD = (
-    rf"(?<![\p{{L}}\p{{Nd}}_.])({_ATTRIBUTES})({_MODS}*+)(?!{_words(_NOT_TYPES)})({_TYPE})\s++(?!{_words(_NOT_CALLS)})({ID})"
+    rf"(?=[\[\p{{L}}_])(?<![\p{{L}}\p{{Nd}}_.])({_ATTRIBUTES})({_MODS}*+)(?!{_words(_NOT_TYPES)})({_TYPE})\s++(?!{_words(_NOT_CALLS)})({ID})"
     rf"\s*+(?:{GENERIC})?+\s*+\(({_PARAMS})\)\s*+(\{{|=>|;|where{_END})"
 )
-CONSTRUCTOR = rf"(?<![\p{{L}}\p{{Nd}}_.])({_MODS}++)({ID})\s*+\(({_PARAMS})\)\s*+(?:\{{|:|=>)"
+CONSTRUCTOR = rf"(?=[{_FIRST}])(?<![\p{{L}}\p{{Nd}}_.])({_MODS}++)({ID})\s*+\(({_PARAMS})\)\s*+(?:\{{|:|=>)"
 FIELD = (
-    rf"(?<![\p{{L}}\p{{Nd}}_.])({_ATTRIBUTES})({_MODS}++)(?!{_words(_NOT_TYPES)})({_TYPE})\s++"
+    rf"(?=[\[{_FIRST}])(?<![\p{{L}}\p{{Nd}}_.])({_ATTRIBUTES})({_MODS}++)(?!{_words(_NOT_TYPES)})({_TYPE})\s++"
     rf"({ID}[^;{{}}()=]*+(?:=(?!>)[^;]*+)?);"
 )
 
@@ -342,7 +344,7 @@ def class_pieces(content: Column) -> Column:
             lambda t: F.struct(
                 F.regexp_replace(t, _WHOLE_CLASS, " ; ").alias("text"),
                 F.concat(state["pieces"], F.regexp_extract_all(t, F.lit(f"({_WHOLE_CLASS})"), F.lit(1))).alias("pieces"),
-                (t.rlike(_WHOLE_CLASS) | (t != state["text"])).alias("changed"),
+                ((t != state["text"]) | t.rlike(_WHOLE_CLASS)).alias("changed"),
             ),
         )
         return F.when(state["changed"], done).otherwise(state)

@@ -1,5 +1,7 @@
 """Code rewriting and inventories on literal C# files."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,3 +344,17 @@ def test_what_stands_before_a_call_is_cut_to_its_receiver(spark):
     rows = found.select("c.before", *code.call_fields(F.col("c"))).collect()
     assert [(r.receiver, r.method, r.line) for r in rows] == [("a.b", "Go", 2), ("x", "Run", 2)]
     assert max(len(r.before) for r in rows) < 20
+
+
+@pytest.mark.parametrize("pattern", ["METHOD", "CONSTRUCTOR", "FIELD", "CLASS_HEADER"])
+def test_first_characters_of_declarations_change_no_match(spark, pattern):
+    text = """[A(1)] public class C : B<int> { [X] [Y(2)] private static int a = 1, _b; ~C() { } C() : base(1) { }
+      protected internal C(int x) => Go(); async Task<List<int>> Run<T>([In] ref T é, int y = 2) where T : C { return new C(); }
+      _T _m(int[] z); record class R(int Q); file sealed record\tclass S { volatile required Ü.V w; } (int, int) P() => x;
+      xpublic class D { } 9class E { } public const string s = null; unsafe fixed (int* p = q) { } extern void W(); [Z]U V() { } }"""
+    now = getattr(code, pattern)
+    plain = re.sub(r"\(\?=\[[^()]*?_?\]\)", "", now, count=1)
+    assert plain != now
+    df = spark.createDataFrame([(text + "\n" + text.replace(" ", "\n\t"),)], "text string")
+    found = df.select(*[F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1)) for p in (now, plain)]).first()
+    assert found[0] == found[1] and found[0]
