@@ -5,13 +5,14 @@ A text is cut into pre-tokens by the pattern; each is encoded by itself, in two
 - a minimal perfect hash resolves pre-tokens that are vocabulary entries: ``n`` entries fill ``n`` slots without a gap,
   by one displacement for each small bucket of entries. A whole batch of pre-tokens is hashed, placed and compared with
   the bytes of its slots at once, so an answer is exact;
-- a pre-token that is no entry starts as a linked list of its bytes; a heap holds the joins of neighbours that are entries,
-  by rank and then by place, and the lowest is made until none is left. An entry of the heap whose neighbours have changed
-  since is passed over, so a pre-token of n bytes takes O(n log n) however long it is.
+- a pre-token that is no entry starts as its bytes, and of the joins of neighbours that are entries the lowest, by rank and
+  then by place, is made until none is left. Up to ``SHORT`` bytes the ranks stand in a list whose least is looked for;
+  beyond that in a heap over a linked list. An entry of the heap whose neighbours have changed since is passed over, so a
+  pre-token of n bytes takes O(n log n) however long it is.
 
 Decoding gathers the entries' bytes. Both work inside the tasks that scan the texts: nothing is shuffled. What is sent to
-the executors is the vocabulary alone (its file's size); results of the second tier are kept in a table of at most ``KEPT``
-short pre-tokens for each task.
+the executors is the vocabulary alone (its file's size); results of the second tier for short pre-tokens are
+kept in a table for each task, which is emptied once it holds ``KEPT``; the ids of a batch are gathered from it at once.
 
 Edge cases: a null text counts as empty; an empty text has no tokens and decodes to no bytes; texts of any length are cut
 and encoded in runs of ``RUN`` pre-tokens; equal ranks of joins go leftmost first; repeated rows and null ids give a row
@@ -22,9 +23,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ from fleetbump.llm.words import chunks, hash_bytes, mix
 RUN = 1 << 17
 KEPT = 400_000
 KEPT_BYTES = 64
+SHORT = 48
 # Texts longer than this are cut lazily, so their pre-tokens never stand in memory together.
 LONG_CHARS = 1 << 20
 BUCKET = 4
@@ -60,6 +63,15 @@ def _class(ranges: str) -> str:
     return "".join("-".join(rf"\U{int(x, 16):08X}" for x in r.split("-")) for r in ranges.split())
 
 
+def _members(ranges: str) -> np.ndarray:
+    """For every code point whether it is in the ranges."""
+    held = np.zeros(0x110000, dtype=bool)
+    for r in ranges.split():
+        ends = [int(x, 16) for x in r.split("-")]
+        held[ends[0] : ends[-1] + 1] = True
+    return held
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Entries of a rank file: on each line an entry in base 64 and its rank."""
     with open(path, "rb") as lines:
@@ -71,14 +83,21 @@ class Cutter:
 
     def __init__(self, pattern: str):
         self.plain = regex.compile(pattern)
-        self.later = regex.compile(f"[{_class(LATER_LETTERS)}{_class(LATER_NUMBERS)}]")
+        self.later = _members(f"{LATER_LETTERS} {LATER_NUMBERS}")
         older = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\p{L}\p{N}]|LATER)")
         letter, number = rf"[\p{{L}}--[{_class(LATER_LETTERS)}]]", rf"[\p{{N}}--[{_class(LATER_NUMBERS)}]]"
         older = older.replace(r"?\p{L}+", f"?{letter}+").replace(r"?\p{N}+", f"?{number}+")
-        self.older = regex.compile("(?V1)" + older.replace("LATER", self.later.pattern))
+        self.older = regex.compile("(?V1)" + older.replace("LATER", f"[{_class(LATER_LETTERS)}{_class(LATER_NUMBERS)}]"))
+
+    def _is_older(self, text: str) -> bool:
+        """Whether no character of the text is one that later versions class otherwise."""
+        if text.isascii():
+            return True
+        parts = (text[at : at + LONG_CHARS] for at in range(0, len(text), LONG_CHARS))
+        return not any(self.later[np.frombuffer(x.encode("utf-32-le"), dtype="<u4")].any() for x in parts)
 
     def runs(self, text: str) -> Iterator[list[str]]:
-        found = self.plain if text.isascii() or not self.later.search(text) else self.older
+        found = self.plain if self._is_older(text) else self.older
         if len(text) <= LONG_CHARS:
             yield found.findall(text)
             return
@@ -162,9 +181,16 @@ class Encoder:
         self.v = vocabulary
         self.cutter = Cutter(vocabulary.pattern)
         self.ranks = {s: i for i, s in enumerate(vocabulary.strings()) if s}
-        # Rank of each two bytes, -1 where they are no entry.
-        self.two = [self.ranks.get(bytes([x, y]), -1) for x in range(256) for y in range(256)]
-        self.kept: dict[bytes, list[int]] = {}
+        # Rank of each two bytes; ``none``, above all ranks, where they are no entry.
+        self.none = max(self.ranks.values(), default=0) + 1
+        self.pairs = [self.ranks.get(bytes([x, y]), self.none) for x in range(256) for y in range(256)]
+        self._empty()
+
+    def _empty(self) -> None:
+        # Numbers of pre-tokens met before, the ids of all in one row, and where those of each number begin. The first
+        # id is no pre-token's, so the row is never empty.
+        self.kept: dict[str, int] = {}
+        self.kept_ids, self.kept_first = array("i", [0]), array("q", [1])
 
     def known(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Id of each run of bytes that is an entry, else -1."""
@@ -181,13 +207,30 @@ class Encoder:
 
     def joined(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that is no entry: joins of the lowest rank first."""
-        n, ranks, two = len(piece), self.ranks, self.two
+        return self._joined_short(piece) if len(piece) <= SHORT else self._joined_long(piece)
+
+    def _joined_short(self, piece: bytes) -> list[int]:
+        ranks, pairs, none = self.ranks, self.pairs, self.none
+        # Where each part begins, with the end of all, and the rank of each part's join with the next one.
+        begins = list(range(len(piece) + 1))
+        joins = [pairs[x << 8 | y] for x, y in zip(piece, piece[1:])]
+        while joins and (low := min(joins)) < none:
+            at = joins.index(low)
+            del begins[at + 1], joins[at]
+            if at < len(joins):
+                joins[at] = ranks.get(piece[begins[at] : begins[at + 2]], none)
+            if at:
+                joins[at - 1] = ranks.get(piece[begins[at - 1] : begins[at + 1]], none)
+        return [ranks[piece[x:y]] for x, y in zip(begins, begins[1:])]
+
+    def _joined_long(self, piece: bytes) -> list[int]:
+        n, ranks, pairs, none = len(piece), self.ranks, self.pairs, self.none
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         # A join is one number, rank first, then start, then end: numbers compare faster than tuples.
         one = n + 1
         high = one * one
         heap = [
-            two[x << 8 | y] * high + i * one + i + 2 for i, (x, y) in enumerate(zip(piece, piece[1:])) if two[x << 8 | y] >= 0
+            r * high + i * one + i + 2 for i, (x, y) in enumerate(zip(piece, piece[1:])) if (r := pairs[x << 8 | y]) < none
         ]
         heapify(heap)
         while heap:
@@ -209,15 +252,25 @@ class Encoder:
             at = after[at]
         return out
 
-    def missed(self, piece: bytes) -> list[int]:
-        found = self.kept.get(piece)
-        if found is None:
-            found = self.joined(piece)
-            if len(piece) <= KEPT_BYTES:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[piece] = found
-        return found
+    def missed(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of ids of each) of pre-tokens that are no entries."""
+        if len(self.kept) >= KEPT or len(self.kept_ids) >= KEPT * KEPT_BYTES:
+            self._empty()
+        kept, ids, first = self.kept, self.kept_ids, self.kept_first
+        numbers = np.fromiter(map(kept.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        for i in np.flatnonzero(numbers < 0).tolist():
+            number = kept.get(pieces[i])
+            if number is None:
+                number, raw = len(first) - 1, pieces[i].encode()
+                ids.extend(self.joined(raw))
+                first.append(len(ids))
+                if len(raw) <= KEPT_BYTES:
+                    kept[pieces[i]] = number
+            numbers[i] = number
+        # Views of the rows end with this call: while there is one they could not grow.
+        begins = np.frombuffer(first, dtype=np.int64)
+        starts, sizes = begins[numbers], begins[numbers + 1] - begins[numbers]
+        return gather(np.frombuffer(ids, dtype=np.int32), starts, sizes), sizes
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pre-tokens, number of ids of each)."""
@@ -229,13 +282,12 @@ class Encoder:
         starts, lengths = ends[:-1], np.diff(ends)
         ids = self.known(data, starts, lengths)
         miss = np.flatnonzero(ids < 0)
-        if not len(miss):
-            return ids, np.ones(len(pieces), dtype=np.int64)
-        found = [self.missed(raw[a:b]) for a, b in zip(starts[miss].tolist(), ends[1:][miss].tolist())]
         counts = np.ones(len(pieces), dtype=np.int64)
-        counts[miss] = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        if not len(miss):
+            return ids, counts
+        found, counts[miss] = self.missed([pieces[i] for i in miss.tolist()])
         out = np.repeat(ids, counts)
-        out[out < 0] = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(counts[miss].sum()))
+        out[out < 0] = found
         return out, counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -193,3 +193,16 @@ def test_op13_on_a_table(spark):
     )
     assert Counter(map(tuple, found.collect())) == want
     assert found.agg(F.sum("n_links")).first()[0] > 0
+
+
+def test_short_and_long_pretokens_are_joined_alike(vocabulary, library):
+    rng = np.random.default_rng(11)
+    encoder = byte_bpe.Encoder(vocabulary)
+    sizes = [*range(1, 20), byte_bpe.SHORT - 1, byte_bpe.SHORT, byte_bpe.SHORT + 1]
+    pieces = [bytes(rng.choice(list(some), n)) for n in sizes for some in (b"aab", b"etaoin", bytes(range(256)), "éß好".encode())]
+    for piece in pieces:
+        assert encoder._joined_short(piece) == encoder._joined_long(piece)
+    # The same again, and more different ones than one number could hold apart, are gathered each at its place.
+    words = ["".join(rng.choice(list("xqjzé"), n)) for n in (5, 9, byte_bpe.SHORT, byte_bpe.SHORT + 9, 90) for _ in range(30)]
+    ids, first = encoder.encode(words + words)
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [library.encode_ordinary(w) for w in words + words]
