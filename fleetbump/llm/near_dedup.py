@@ -10,10 +10,13 @@ the executors.
    the quantised weight it was drawn at, so two documents agree on one with probability equal to their weighted Jaccard
    similarity. Texts that are equal byte for byte are one node from here on.
 3. Nodes that agree on all samples of a band share a bucket. Every node is first compared with the smallest node of each
-   of its buckets. Buckets that still hold several components then compare every node outside the largest component
-   with all nodes of other components, in bounded goes, so no link between candidates is lost and a bucket of similar
-   texts, however large, costs one comparison a node.
-4. Comparisons compute the weighted Jaccard similarity of the whole texts; the links of 0.8 or more give the classes.
+   of its buckets, which costs one comparison a node however large a bucket of similar texts is.
+4. In buckets that still hold several components, a bound tells which pairs can reach the similarity: what two texts
+   share is at most the smaller of their common weights, that of the shingles which any other node of such buckets has.
+   Nodes outside the largest component meet the node of the greatest common share; then, with the bound of the buckets
+   that are left, all pairs of different components that it allows are compared, each once, in bounded goes. The bound
+   is exact, so no link between candidates is lost.
+5. Comparisons compute the weighted Jaccard similarity of the whole texts; the links of 0.8 or more give the classes.
 
 Edge cases: null text counts as empty; a text without words is alone unless the same bytes occur again; one to four
 words make one shingle; repeated rows and ids share the class of their text; null ids keep their row.
@@ -202,19 +205,38 @@ def with_node(docs: DataFrame) -> DataFrame:
     )
 
 
-def similar_links(docs: DataFrame, pairs: DataFrame, reps: DataFrame, idf, settings: Settings) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose texts have the weighted Jaccard similarity asked for.
+def _spelt(idf, s: Settings):
+    def spell(batches):
+        for batch in batches:
+            for part in chunks(batch):
+                ids, level = weighted_shingles(part.column("text"), idf, s.words)
+                numbers = part.column("no").to_numpy()[(ids >> _U(48)).astype(np.int64)]
+                short = (ids & _U((1 << 48) - 1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(short), pa.array(numbers), pa.array(np.exp2(level / 8))], ["shingle", "no", "weight"]
+                )
 
-    Only the texts of nodes in a pair are read again, one document for each node, and joined side by side.
-    """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = reps.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
+    return spell
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, reps: DataFrame) -> DataFrame:
+    """``node, text`` of the given nodes, read from one document for each."""
+    chosen = reps.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
     texts = with_node(docs).alias("d").join(
         chosen.alias("c"),
         (F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))) & (F.col("d.node") == F.col("c.node")),
         "left_semi",
     )
-    texts = texts.select("node", "text").dropDuplicates(["node"])
+    return texts.select("node", "text").dropDuplicates(["node"])
+
+
+def similar_links(docs: DataFrame, pairs: DataFrame, reps: DataFrame, idf, settings: Settings) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose texts have the weighted Jaccard similarity asked for.
+
+    Only the texts of nodes in a pair are read again, one document for each node, and joined side by side.
+    """
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = texts_of(docs, wanted, reps)
     joined = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left_text")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right_text")), "b")
@@ -254,10 +276,16 @@ def near_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     done = written(_comparable(led, s), "pairs")
     links = written(similar_links(docs, done, reps, idf, s), "links")
     roots = components(links)
-    more = _remaining(docs, members, roots, done, reps, idf, s)
-    if more is not None and not more.isEmpty():
-        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(known.unionByName(more.select("a", "b")))
+    held = _eligible(docs, members.select("value", "node", "weight"), roots, reps, idf, s)
+    if not held.isEmpty():
+        met = written(_central_pairs(held, s).join(done, ["a", "b"], "left_anti"), "pairs")
+        more = written(similar_links(docs, met, reps, idf, s), "links")
+        if not more.isEmpty():
+            roots = components(_with_links(roots, more))
+        held = _eligible(docs, held.select("value", "node", "weight"), roots, reps, idf, s)
+        more = _remaining(docs, held, done.unionByName(met), reps, idf, s)
+        if more is not None and not more.isEmpty():
+            roots = components(_with_links(roots, more))
     placed = reps.select("node", "rep").join(roots, "node", "left")
     placed = written(placed.select("node", "rep", F.coalesce("root", "node").alias("root")), "placed")
     sized = signed.groupBy("node").agg(F.count("*").alias("rows")).join(placed, "node")
@@ -276,35 +304,101 @@ def _comparable(pairs: DataFrame, s: Settings) -> DataFrame:
     return pairs.where(near).select("a", "b").distinct()
 
 
-def _remaining(docs, members, roots, done, reps, idf, s: Settings) -> DataFrame | None:
-    """Links between components that share a bucket; None if no bucket holds several.
+def _with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return known.unionByName(links.select("a", "b"))
 
-    In each such bucket, all nodes outside the largest component are paired with all nodes of other components. The
-    pairs are made in as many goes as keep one go within ``pairs_per_node`` pairs for each node of the table.
-    """
-    placed = members.select("value", "node", "weight").join(roots, "node", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "node"))
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, each with the largest component and size of its bucket."""
     parts = placed.groupBy("value", "root").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("value").agg(
         F.max_by("root", F.struct("n", "root")).alias("largest"),
         F.count("*").alias("parts"),
         F.sum("n").alias("all"),
     )
-    open_ = open_.where("parts > 1")
-    placed = written(placed.join(open_, "value"), "open")
-    size = placed.where("root <> largest").agg(F.sum("all")).first()[0]
+    return placed.join(open_.where("parts > 1").drop("parts"), "value")
+
+
+def _eligible(docs, rows, roots, reps, idf, s: Settings) -> DataFrame:
+    """The rows of open buckets whose nodes can be similar to a node of another component, with their common weight.
+
+    Similar texts share ``similarity`` of the weight of either. A shingle that a single node of the open buckets has is
+    shared with none, so a node without that much common weight has no link there and is left out.
+    """
+    placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = written(_open(placed).drop("largest", "all"), "open")
+    nodes = placed.select("node").distinct().withColumn("no", F.monotonically_increasing_id())
+    # Written, so that the numbers stay as they are.
+    nodes = written(nodes, "numbered")
+    texts = nodes.join(texts_of(docs, nodes, reps), "node").select("no", "text")
+    spelt = texts.mapInArrow(_spelt(idf, s), "shingle long, no long, weight double")
+    single = spelt.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.max("no").alias("no"), F.max("weight").alias("weight")
+    )
+    single = single.where("n = 1").groupBy("no").agg(F.sum("weight").alias("own"))
+    owned = nodes.join(single, "no").select("node", "own")
+    placed = placed.join(owned, "node", "left")
+    placed = placed.withColumn("common", F.col("weight") - F.coalesce("own", F.lit(0.0))).drop("own")
+    placed = placed.where(F.col("common") >= (s.similarity - 1e-9) * F.col("weight"))
+    return written(_open(written(placed, "eligible")), "open")
+
+
+def _possible(s: Settings):
+    """Whether common weights ``ca, cb`` allow texts of weights ``wa, wb`` the similarity.
+
+    It is what they share over the rest of both weights, so they share ``similarity / (1 + similarity)`` of their sum.
+    """
+    share = s.similarity / (1 + s.similarity) - 1e-9
+    return F.least("ca", "cb") >= share * (F.col("wa") + F.col("wb"))
+
+
+def _central_pairs(held: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of the node with the greatest common share of each open bucket and the nodes outside the largest component."""
+    lead = held.groupBy("value").agg(
+        F.max_by(F.struct("node", "root", "weight", "common"), F.struct(F.col("common") / F.col("weight"), "node")).alias("lead")
+    )
+    pairs = held.where("root <> largest").join(lead, "value").where("root <> lead.root")
+    pairs = pairs.select(
+        F.least("node", "lead.node").alias("a"),
+        F.greatest("node", "lead.node").alias("b"),
+        F.col("weight").alias("wa"),
+        F.col("common").alias("ca"),
+        F.col("lead.weight").alias("wb"),
+        F.col("lead.common").alias("cb"),
+    )
+    return pairs.where(_possible(s)).select("a", "b").distinct()
+
+
+def _remaining(docs, held, done, reps, idf, s: Settings) -> DataFrame | None:
+    """Links between components that share a bucket; None if no bucket holds several.
+
+    In each such bucket, all nodes outside the largest component are paired with all nodes of other components that
+    their common weights allow; a pair is made in the smallest bucket it shares. The pairs are made in as many goes as
+    keep one go within ``pairs_per_node`` pairs for each node of the table.
+    """
+    size = held.where("root <> largest").agg(F.sum("all")).first()[0]
     if not size:
         return None
     goes = -(-size // (s.pairs_per_node * reps.count()))
+    held = written(held.join(reps.select("node", "bands"), "node"), "open").withColumnsRenamed(
+        {"weight": "wa", "common": "ca"}
+    )
     links = None
     for go in range(goes):
-        lead = placed.where((F.col("root") != F.col("largest")) & (F.pmod(F.xxhash64("node"), F.lit(goes)) == go))
-        lead = lead.select("value", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("weight").alias("wb"))
-        pairs = placed.join(lead, "value").where("root <> xr")
-        pairs = pairs.select(
-            F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"), F.col("weight").alias("wa"), "wb"
+        lead = held.where((F.col("root") != F.col("largest")) & (F.pmod(F.xxhash64("node"), F.lit(goes)) == go))
+        lead = lead.select(
+            "value",
+            F.col("node").alias("x"),
+            F.col("root").alias("xr"),
+            F.col("wa").alias("wb"),
+            F.col("ca").alias("cb"),
+            F.col("bands").alias("xb"),
         )
-        pairs = written(_comparable(pairs, s).join(done, ["a", "b"], "left_anti"), "pairs")
+        pairs = held.join(lead, "value").where("root <> xr and (root = largest or node < x)").where(_possible(s))
+        pairs = pairs.where(F.array_min(F.array_intersect("bands", "xb")) == F.col("value"))
+        pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+        pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         found = written(similar_links(docs, pairs, reps, idf, s), "links")
         links = found if links is None else links.unionByName(found)
     return links

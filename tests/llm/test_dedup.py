@@ -118,6 +118,35 @@ def test_near_keeps_links_between_texts_the_smallest_node_is_not_close_to(spark,
     assert [r.class_id for r in found] == [0]
 
 
+def test_near_compares_few_of_the_pairs_that_cannot_be_similar(spark, texts, monkeypatch):
+    """Variants of one text that differ too much from each other: their number, not its square, is compared."""
+    words = " ".join(texts).split(" ")[:200]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 121):
+        own = list(words)
+        # Variant i changes one word of every 30, or of every 60 and so close to the text, at places of its own.
+        for j in range(i % 7, 200, 60 if i % 4 == 0 else 30):
+            own[j + i % 17 if j + i % 17 < 200 else j] = f"own{i}of{j}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compared = []
+
+    def counted(docs, pairs, reps, idf, settings):
+        compared.append(pairs.count())
+        return similar_links(docs, pairs, reps, idf, settings)
+
+    similar_links = near_dedup.similar_links
+    monkeypatch.setattr(near_dedup, "similar_links", counted)
+    s = near_dedup.Settings()
+    found = near_dedup.near_classes(docs, s).collect()
+    text_of = dict(rows)
+    classes = defaultdict(set)
+    for r in found:
+        classes[bytes(r.class_node)].add((r.doc_id, text_of[r.doc_id]))
+    assert {frozenset(c) for c in classes.values()} == brute_classes(rows, s)
+    assert sum(compared) <= 10 * len(rows)
+
+
 def test_near_stage_keeps_one_row_of_each_class(clashing, nothing):
     found = near_dedup.near_classes(clashing)
     kept = near_dedup.keep_one(clashing)
