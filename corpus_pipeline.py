@@ -6,31 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetbump.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from fleetbump.llm.tables import written
+from fleetbump.session import bounded_batches
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents judged toxic go; the model learns from the labelled ones among ``docs``."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.train(docs, labels))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, that of the largest doc_id."""
+    bounded_batches(spark)
     return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest doc_id."""
+    bounded_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded_batches(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the training sequences."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

@@ -55,7 +55,7 @@ class Settings:
 LOWEST, HIGHEST = -32, 40
 DRAWS = 1 << 14
 # Distinct (document, word) pairs counted in memory before a block of partial counts is handed on.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 
 
 @lru_cache(maxsize=2)

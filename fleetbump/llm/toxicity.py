@@ -80,6 +80,8 @@ WORD = re.compile(r"[^ \t-\r]+")
 SPACES = re.compile(r"[ \t-\r]+")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 CACHED = 1_000_000
+# Words whose kernels are computed at once: their arrays hold some hundred numbers a word.
+LEARNT = 16_384
 # A letter put into made-up insults; which one it is makes no difference to the kernel as long as no insult has it.
 FOREIGN = "\u0250"
 
@@ -186,7 +188,8 @@ class Scorer:
 
     def __init__(self, landmarks: list[str], powers: np.ndarray, s: Settings):
         self.landmarks, self.powers, self.s = landmarks, powers, s
-        self.known: set[int] = set()
+        # Sorted hashes, eight bytes a word: as many Python numbers would take a tenth of a gigabyte.
+        self.known = np.zeros(0, dtype=np.uint64)
         self.runs: set[str] = set()
         self.near: dict[str, list[str]] = {}
         self.kernels: dict[str, np.ndarray] = {}
@@ -194,6 +197,9 @@ class Scorer:
 
     def _learn(self, raw: list[str]) -> list[bool]:
         """Keeps the kernels of raw units that are near a landmark; tells which are."""
+        return [told for at in range(0, len(raw), LEARNT) for told in self._learn_some(raw[at : at + LEARNT])]
+
+    def _learn_some(self, raw: list[str]) -> list[bool]:
         parts = [letters(w) for w in raw]
         units = sorted({u for p in parts for u in p})
         place = {u: i for i, u in enumerate(units)}
@@ -211,14 +217,18 @@ class Scorer:
     def rows_near(self, column: pa.Array) -> np.ndarray:
         """Which rows hold a word, or run of very short words, that is near a landmark."""
         if len(self.known) + len(self.runs) > CACHED:
-            self.known, self.runs, self.near, self.kernels, self.near_hashes = set(), set(), {}, {}, set()
+            self.known = np.zeros(0, dtype=np.uint64)
+            self.runs, self.near, self.kernels, self.near_hashes = set(), {}, {}, set()
         words = words_of(column)
         data, rows = words.data.tobytes(), words.rows()
         hashes, first = np.unique(words.hashes, return_index=True)
-        new = [(h, i) for h, i in zip(hashes.tolist(), first.tolist(), strict=True) if h not in self.known]
-        raw = [data[words.starts[i] : words.ends[i]].decode("utf-8", "replace").lower() for _, i in new]
-        self.near_hashes.update(h for (h, _), close in zip(new, self._learn(raw), strict=True) if close)
-        self.known.update(h for h, _ in new)
+        at = np.searchsorted(self.known, hashes)
+        met = np.append(self.known, np.uint64(0))[at] == hashes
+        met &= at < len(self.known)
+        new, places = hashes[~met], first[~met].tolist()
+        raw = [data[words.starts[i] : words.ends[i]].decode("utf-8", "replace").lower() for i in places]
+        self.near_hashes.update(new[np.array(self._learn(raw), dtype=bool)].tolist())
+        self.known = np.insert(self.known, at[~met], new)
         out = np.zeros(len(column), dtype=bool)
         out[rows[np.isin(words.hashes, np.array(sorted(self.near_hashes), dtype=np.uint64))]] = True
         short = np.flatnonzero(words.ends - words.starts <= 4)

@@ -17,6 +17,10 @@ SETTINGS = {
 }
 
 
+# A batch of rows on its way to a Python worker is held twice by the executor and twice by the worker.
+BATCH_BYTES = 4 << 20
+
+
 def build_session(master: str | None = None, app: str = "fleetbump", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -26,6 +30,14 @@ def build_session(master: str | None = None, app: str = "fleetbump", **extra: st
     return builder.getOrCreate()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold at most ``BATCH_BYTES``, however long the texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can read: the cluster's checkpoint folder; a fresh local one on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -142,6 +142,21 @@ def brute_kn(trusted, text):
     return sum(math.log10(p((u, v), x, tri, d3, p((v,), x, bi, d2, p1(x)))) for u, v, x in zip(w, w[1:], w[2:], strict=False))
 
 
+def test_words_met_are_kept_in_eight_bytes_each(documents, monkeypatch):
+    text = documents.select("text").toArrow().column("text").combine_chunks()
+    marks, powers = ["idiot", "stupid", "bakede"], np.array([1.0, 3.0, 3.0])
+    whole = toxicity.Scorer(marks, powers, toxicity.Settings())
+    want = whole.features(text)
+    monkeypatch.setattr(toxicity, "LEARNT", 7)
+    some = toxicity.Scorer(marks, powers, toxicity.Settings())
+    found = [some.features(text.slice(at, 13)) for at in range(0, len(text), 13)]
+    assert np.array_equal(np.concatenate(found), want)
+    words = {w.lower() for t in text.to_pylist() for w in (t or "").encode().split()}
+    for scorer in (whole, some):
+        assert scorer.known.nbytes == 8 * len(words)
+        assert (np.diff(scorer.known.astype(object)) > 0).all()
+
+
 def test_perplexity_equals_brute_force(spark):
     good = ["a b c d", "a b c e", "b c d a b", "c c c", "a b a b c d", "d e f"]
     other = ["a b c d", "x y z", "", "a b x c d", "f e d c b a"]
