@@ -1,11 +1,14 @@
 import math
+import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from fleetbump.llm import decontaminate, html_text, license_scan, perplexity, toxicity, url_filter
 from fleetbump.llm.words import words_of
+from fleetbump.session import shared_folder
 
 INSULTS = ["idiot", "scum", "moron", "stupid", "trash"]
 
@@ -186,6 +189,73 @@ def test_model_counts_every_trusted_document(spark):
     assert not len(perplexity._frequent(model, 0)[0])
 
 
+def test_split_shards_and_rounds_change_no_score(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "_LEAST", 8)
+    monkeypatch.setattr(perplexity, "_ROUND", 0)
+    rng = random.Random(3)
+    good = [" ".join(rng.choices("abcdefghij", [30, 9, 6, 4, 3, 2, 2, 1, 1, 1], k=rng.randint(1, 25))) for _ in range(40)]
+    rows = [*enumerate(good), *((100 + i, t) for i, t in enumerate([*good[:5], "a z b", "J a a", "", None, "q"]))]
+    rows += [(None, good[0]), (3, good[3]), (200, "A  A"), (201, "a a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(len(good))], "doc_id long, quality int")
+    left = {r.id for r in perplexity._trusted(labels).where(perplexity.measured("id")).collect()}
+    trained = [t for i, t in rows if i is not None and i < 100 and i not in left]
+    known = {w for t in trained for w in t.split()} | {"</s>"}
+    for table in (1, 400_000):
+        settings = perplexity.Settings(table=table, shard=16, rounds=3)
+        model = perplexity.fit(docs, labels, settings)
+        assert model.plan.rounds == 3 and model.plan.parts.max() > 3 and (model.rare is None) == (table > 1)
+        found = perplexity.perplexities(docs, labels, settings).collect()
+        assert sorted(str(r.doc_id) for r in found) == sorted(str(i) for i, _ in rows)
+        texts = {i: t or "" for i, t in rows}
+        for r in found:
+            assert math.isclose(r.log10_prob, brute_kn(trained, texts[r.doc_id]), rel_tol=1e-9)
+            assert r.n_tokens == len(texts[r.doc_id].split()) + 1
+    grams = [Counter(), Counter(), Counter()]
+    for t in trained:
+        w = ["<s>", "<s>", *t.split(), "</s>"]
+        for i in range(2, len(w)):
+            grams[0][w[i]] += 1
+            grams[1][w[i - 1], w[i]] += 1
+            grams[2][w[i - 2], w[i - 1], w[i]] += 1
+    assert set(grams[0]) == known
+    model, unknown, begin = perplexity.train(docs, labels, settings)
+    model = {r.ngram: r for r in model.collect()}
+    assert sorted(r.seen for r in model.values()) == sorted(n for g in grams for n in g.values())
+    words = words_of(pa.array(["a b a"])).hashes
+    w = np.concatenate([[perplexity._START] * 2, words, [perplexity._END]])
+    uv, vw = perplexity._pair(w[:-2], w[1:-1]), perplexity._pair(w[1:-1], w[2:])
+    hashes = np.concatenate([perplexity._word(w[2:]), vw, perplexity._triple(uv, w[2:])]).view(np.int64)
+    total = begin + 4 * unknown + sum(model[h].value for h in hashes.tolist() if h in model)
+    assert math.isclose(total, brute_kn(trained, "a b a"), rel_tol=1e-9)
+
+
+def test_quality_filter_keeps_no_table_of_ngrams(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(1000)]
+    texts = [" ".join(rng.choices(words, k=100)) for _ in range(2000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    folder = Path(shared_folder(spark))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, there = spark.conf.get(key), set(folder.iterdir())
+    assert perplexity.classify(docs, docs.selectExpr("doc_id", "1 quality")).count() == 2000
+    assert spark.conf.get(key) == before
+    staged = sum(p.stat().st_size for new in set(folder.iterdir()) - there for p in new.rglob("*.parquet"))
+    # Some 156,000 different trigrams of trusted texts: 24 bytes each, and more, where they were written.
+    assert staged < 0.3 * sum(map(len, texts))
+
+
+def test_sent_words_return(documents):
+    words = np.unique(words_of(documents.select("text").toArrow().column("text").combine_chunks()).hashes)
+    assert (perplexity._unmixed(perplexity.mix(words)) == words).all()
+    rng = np.random.default_rng(1)
+    places = [words[rng.integers(0, len(words), 500)] for _ in range(3)]
+    for common in (words[:0], words[::3], words):
+        names = perplexity._SHARED
+        rows = pa.RecordBatch.from_pylist([dict(zip(names, perplexity._sent(common, *places), strict=True))])
+        assert all((a == b).all() for a, b in zip(places, perplexity._read(rows, common), strict=True))
+
+
 def test_quality_filter_keeps_clean_documents(spark, documents, texts, nothing):
     labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
     found = perplexity.classify(documents, labels)
